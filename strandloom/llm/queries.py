@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash_dedup, suffix_dedup, token_counts
+from . import lm_score, packing, simhash_dedup, suffix_dedup, token_counts
 from .storage import table
 
 
@@ -20,9 +20,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_simhash_near_dedup, op7_packing, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_simhash_near_dedup, op7_packing, op8_lm_scoring, op9_token_counts)}
 ORACLES: dict[str, str] = {}
