@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, packing, simhash_dedup, suffix_dedup, token_counts
+from . import language_id, lm_score, packing, simhash_dedup, suffix_dedup, token_counts
 from .storage import table
 
 
@@ -28,5 +28,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_simhash_near_dedup, op7_packing, op8_lm_scoring, op9_token_counts)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_simhash_near_dedup, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {}
