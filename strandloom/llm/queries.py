@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_score, packing, simhash_dedup, suffix_dedup, token_counts
+from . import cap_filters, language_id, lm_score, packing, simhash_dedup, suffix_dedup, token_counts
 from .storage import table
 
 
@@ -12,6 +12,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_simhash_near_dedup, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_embedding_near_dedup, op5_simhash_near_dedup, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
+ORACLES: dict[str, str] = {
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.9),
+reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.r)
+SELECT e.vec_id, CAST((SELECT count(*) FROM link WHERE link.a = e.vec_id) AS BIGINT) AS n_links,
+       m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) m USING (vec_id)""",
+}
