@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, language_id, lm_score, packing, simhash_dedup, suffix_dedup, token_counts
+from . import cap_filters, html_extraction, language_id, lm_score, packing, simhash_dedup, suffix_dedup, token_counts
 from .storage import table
 
 
@@ -20,6 +20,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_embedding_near_dedup, op5_simhash_near_dedup, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_embedding_near_dedup, op5_simhash_near_dedup, op6_html_extraction, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op3_embedding_near_dedup": """
 WITH RECURSIVE v AS (
