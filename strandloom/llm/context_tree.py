@@ -23,6 +23,8 @@ NODES = 1 << 16
 BITS = 6
 END = 0xFF
 SLICE = 1 << 21
+#: Decisions weighed at a time, for the driver's memory.
+BLOCK = 8
 LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
 MARKS = ".,-'\":;!?()@/"
 
@@ -96,9 +98,9 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nodes in the order given (parents first): depth and context of each, and their byte counts (nodes, 256)."""
+    """Nodes in the order given (parents first): depth and context of each, and rows (node, byte, count)."""
 
-    def __init__(self, depths: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, depths: np.ndarray, keys: np.ndarray, node: np.ndarray, byte: np.ndarray, count: np.ndarray):
         n = len(depths)
         number = {(int(d), int(k)): i for i, (d, k) in enumerate(zip(depths, keys))}
         self.parent = np.array([number[d - 1, k & (1 << BITS * (d - 1)) - 1] if d else 0 for d, k in zip(depths.tolist(), keys.tolist())], np.int32)
@@ -106,9 +108,9 @@ class Tree:
         self.child = np.full((n + 1, 1 << BITS), n, np.int32)
         deep = np.flatnonzero(depths > 0)
         self.child[self.parent[deep], keys[deep] >> BITS * (depths[deep] - 1)] = deep
-        self.logs = self._weigh(counts)
+        self.logs = self._weigh(node.astype(np.int64), byte.astype(np.int64), count.astype(np.float64))
 
-    def _weigh(self, counts: np.ndarray) -> np.ndarray:
+    def _weigh(self, node: np.ndarray, byte: np.ndarray, count: np.ndarray) -> np.ndarray:
         n, top = len(self.depths), int(self.depths.max())
         logs = np.zeros((n, 256), np.float32)
         by_depth = [np.flatnonzero(self.depths == d) for d in range(top + 1)]
@@ -116,9 +118,12 @@ class Tree:
         inner[self.parent[self.depths > 0]] = True
         for level in range(8):
             width = 256 >> level
-            for first in range(0, 1 << level, 32):
-                z = slice(first, min(first + 32, 1 << level))
-                block = counts[:, z.start * width : z.stop * width].reshape(n, -1, 2, width // 2).sum(3, dtype=np.float64)
+            for first in range(0, 1 << level, BLOCK):
+                z = slice(first, min(first + BLOCK, 1 << level))
+                here = (byte >= z.start * width) & (byte < z.stop * width)
+                half = (byte[here] - z.start * width) // (width // 2)
+                size = 2 * (z.stop - z.start)
+                block = np.bincount(node[here] * size + half, count[here], n * size).astype(np.float64).reshape(n, -1, 2)
                 a, b = block[:, :, 0], block[:, :, 1]
                 own = _estimate(a, b)
                 kt = (b + 0.5) / (a + b + 1)

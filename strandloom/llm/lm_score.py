@@ -103,7 +103,8 @@ def _tree(grams: DataFrame, depth: int, nodes: int) -> Tree:
     kept = written(bytes_of.groupBy("d", "ctx").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "d", "ctx").limit(nodes), "contexts")
     order = kept.orderBy(F.desc("n"), "d", "ctx").toArrow()
     if not order.num_rows:
-        return Tree(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, 256)))
+        none = np.zeros(0, np.int64)
+        return Tree(np.zeros(1, np.int64), np.zeros(1, np.int64), none, none, none)
     rows = spread.join(F.broadcast(kept.select("d", "ctx")), ["d", "ctx"]).groupBy("d", "ctx", "byte").agg(F.sum("c").alias("c")).toArrow()
     depths, keys = (order.column(n).to_numpy().astype(np.int64) for n in ("d", "ctx"))
     # contexts of up to five six-bit classes and their depth fit one integer
@@ -111,9 +112,7 @@ def _tree(grams: DataFrame, depth: int, nodes: int) -> Tree:
     known = code(depths, keys)
     by = np.argsort(known)
     at = by[np.searchsorted(known[by], code(rows.column("d").to_numpy().astype(np.int64), rows.column("ctx").to_numpy()))]
-    counts = np.zeros((len(depths), 256))
-    counts[at, rows.column("byte").to_numpy()] = rows.column("c").to_numpy()
-    return Tree(depths, keys, counts)
+    return Tree(depths, keys, at, rows.column("byte").to_numpy(), rows.column("c").to_numpy())
 
 
 def _scored(model, depth: int):
