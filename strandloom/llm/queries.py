@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, html_extraction, language_id, lm_score, packing, simhash_dedup, suffix_dedup, token_counts
+from . import cap_filters, html_extraction, language_id, lm_score, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts
 from .storage import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -40,8 +44,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_embedding_near_dedup, op5_simhash_near_dedup, op6_html_extraction, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_embedding_near_dedup, op5_simhash_near_dedup, op6_html_extraction, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
     "op3_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
