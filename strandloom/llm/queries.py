@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cap_filters, html_extraction, language_id, lm_score, packing, quality_rules, simhash_dedup, suffix_dedup, token_counts
+from . import cap_filters, html_extraction, language_id, lm_score, packing, quality_rules, simhash_dedup, source_mixing, suffix_dedup, token_counts
 from .storage import table
 
 
@@ -20,6 +20,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.weighted(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,9 +48,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_embedding_near_dedup, op5_simhash_near_dedup, op6_html_extraction, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_suffix_dedup, op3_embedding_near_dedup, op4_source_mixing, op5_simhash_near_dedup, op6_html_extraction, op7_packing, op8_lm_scoring, op9_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op4_source_mixing": source_mixing.ORACLE,
     "op3_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
