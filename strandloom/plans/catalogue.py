@@ -2,12 +2,566 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "silver_join"
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandloom.operators import annotate, cluster, fingerprint, intervals, pileup, selection, sets, statistics, text_mining
+
+from .adapters import QUERY_LENGTH, RESIDUES, ctes, frames
+
+FLAGSHIP = "flagship_region"
+REGION = [(22, 123), (200, 260)]
+PATTERNS = [{3: "AV", 10: "LIV"}, {1: "K", 20: "DE"}]
+POSITIONS = [3, 7, 12]
+CELL = 2.0
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(*views: str, sql: str | None = None):
+    """Register a function of view frames, and the SQL of the same rows."""
+
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(*frames(spark, sf_dir, *views))
+        if sql:
+            head = ctes(*views)
+            _ORACLES[f.__name__] = f"{head}, {sql.strip()[5:]}" if sql.strip().startswith("WITH ") else f"{head} {sql}"
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def r6(c, name=None):
+    return F.round(c, 6).alias(name or c)
+
+
+CLIP = "clip AS (" + " UNION ALL ".join(
+    f"SELECT alignment_id, greatest(q_start, {s}) AS q_start, s_start + greatest(q_start, {s}) - q_start AS s_start, least(q_start + length, {e}) - greatest(q_start, {s}) AS length FROM seg WHERE q_start < {e} AND q_start + length > {s}"
+    for s, e in REGION
+) + ")"
+BEST = """sp AS (SELECT alignment_id, min(s_start) AS a, max(s_start + length) AS b FROM {seg} GROUP BY alignment_id),
+ov AS (SELECT aln.alignment_id, accession, ann.clan, e_value, env_from, env_to, greatest(least(b, env_to) - greatest(a, env_from - 1), 0) AS o, b - a AS sl, env_to - env_from + 1 AS el
+  FROM aln JOIN sp USING (alignment_id) JOIN ann USING (target_id)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alignment_id ORDER BY o DESC, e_value, accession, clan, env_from, env_to) AS rn FROM ov
+  WHERE o > 0 AND (o >= 30 OR o > 0.5 * sl OR o > 0.5 * el)) WHERE rn = 1)"""
+
+
+@query("seg", sql=f"WITH {CLIP} SELECT * FROM clip")
+def clip_segments(seg):
+    return intervals.clip(seg, REGION).select("alignment_id", "q_start", "s_start", "length")
+
+
+@query("seg", sql="SELECT alignment_id, CAST(sum(length) AS BIGINT) AS alignment_length, min(s_start) AS target_left, max(s_start + length - 1) AS target_right FROM seg GROUP BY alignment_id")
+def segment_bounds(seg):
+    return intervals.bounds(seg)
+
+
+@query("seg", sql=f"WITH {CLIP} SELECT alignment_id, CAST(sum(length) AS BIGINT) AS alignment_length, round(sum(length) / {QUERY_LENGTH}.0::DOUBLE, 6) AS query_coverage FROM clip GROUP BY alignment_id")
+def coverage(seg):
+    return intervals.coverage(intervals.bounds(intervals.clip(seg, REGION)), QUERY_LENGTH).select("alignment_id", "alignment_length", r6("query_coverage"))
+
+
+@query("aln", "seg", "ann", sql=f"WITH {BEST.format(seg='seg')} SELECT aln.alignment_id, accession, clan, CAST(o AS INT) AS overlap, e_value FROM aln LEFT JOIN best USING (alignment_id)")
+def interval_top1(aln, seg, ann):
+    return intervals.best_annotation(aln, seg, ann)
+
+
+@query(
+    "aln", "seg", "ann",
+    sql=f"""WITH {CLIP}, {BEST.format(seg='clip')}, met AS (SELECT alignment_id, CAST(sum(length) AS BIGINT) AS alignment_length FROM clip GROUP BY 1),
+v AS (SELECT aln.*, alignment_length, alignment_length / {QUERY_LENGTH}.0::DOUBLE AS query_coverage, best.accession FROM aln JOIN met USING (alignment_id) LEFT JOIN best USING (alignment_id) WHERE z_score >= 8),
+l AS (SELECT accession, arg_max(alignment_id, (z_score, -alignment_id)) AS first, max(z_score) AS z FROM v WHERE accession IS NOT NULL GROUP BY 1),
+rk AS (SELECT accession, row_number() OVER (ORDER BY z DESC, first) AS pfam_rank FROM l)
+SELECT alignment_id, target_id, round(z_score, 6) AS z_score, alignment_length, round(query_coverage, 6) AS query_coverage, coalesce(v.accession, 'Unassigned') AS accession, CAST(pfam_rank AS INT) AS pfam_rank
+FROM v LEFT JOIN rk ON v.accession = rk.accession""",
+)
+def flagship_region(aln, seg, ann):
+    """Alignments of a query region with their length, coverage, best annotation and its rank."""
+    clipped = intervals.clip(seg, REGION)
+    rows = aln.where("z_score >= 8").join(intervals.coverage(intervals.bounds(clipped), QUERY_LENGTH), "alignment_id")
+    best = intervals.best_annotation(rows.select("alignment_id", "target_id"), clipped, ann)
+    rows = rows.join(best.select("alignment_id", "accession"), "alignment_id", "left")
+    rows = selection.first_appearance_rank(rows, "accession", "z_score", "alignment_id", "pfam_rank")
+    return rows.select("alignment_id", "target_id", r6("z_score"), "alignment_length", r6("query_coverage"), F.coalesce("accession", F.lit("Unassigned")).alias("accession"), "pfam_rank")
+
+
+@query("aln", "seg", sql=f"WITH sp AS (SELECT alignment_id, q_start, q_start + length AS q_end, s_start FROM seg) SELECT aln.alignment_id, target_id, round(z_score, 6) AS z_score, count(*) AS n_segments FROM aln JOIN sp USING (alignment_id) GROUP BY ALL")
+def silver_join(aln, seg):
+    counts = seg.groupBy("alignment_id").agg(F.count("*").alias("n_segments"))
+    return aln.join(counts, "alignment_id").select("alignment_id", "target_id", r6("z_score"), "n_segments")
+
+
+@query("seg", sql="""WITH o AS (SELECT *, max(q_start + length) OVER (PARTITION BY alignment_id ORDER BY q_start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM seg),
+g AS (SELECT *, sum(CASE WHEN coalesce(p, -1) < q_start THEN 1 ELSE 0 END) OVER (PARTITION BY alignment_id ORDER BY q_start, length ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT alignment_id, CAST(island AS BIGINT) AS island, min(q_start) AS q_start, max(q_start + length) AS q_end FROM g GROUP BY alignment_id, island""")
+def segment_islands(seg):
+    return intervals.clusters_of_overlap(seg).select("alignment_id", F.col("island").cast("long").alias("island"), "q_start", "q_end")
+
+
+@query("aln", "seg", sql=f"WITH {CLIP}, p AS (SELECT alignment_id, count(DISTINCT q) AS n, min(t) AS lo, max(t) AS hi FROM (SELECT alignment_id, q_start + i AS q, s_start + i AS t FROM (SELECT *, unnest(range(length)) AS i FROM clip)) GROUP BY 1) SELECT alignment_id, n, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi FROM p")
+def residue_pairs(aln, seg):
+    pairs = intervals.residue_pairs(intervals.clip(seg, REGION))
+    return pairs.groupBy("alignment_id").agg(F.count_distinct("q").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+
+
+RANKS = """WITH b AS (SELECT {label}, max(z_score) AS z FROM hit GROUP BY 1), f AS (SELECT hit.{label}, z, min(rid) AS f FROM hit JOIN b ON hit.{label} = b.{label} AND z_score = z GROUP BY 1, 2),
+rk AS (SELECT {label}, row_number() OVER (ORDER BY z DESC, f, {label}) AS k FROM f)"""
+
+
+@query("hit", sql=RANKS.format(label="pfam") + " SELECT rid, l_partkey, l_suppkey, hit.pfam, CAST(k AS INT) AS pfam_rank FROM hit JOIN rk ON hit.pfam = rk.pfam")
+def first_appearance_rank(hit):
+    return selection.first_appearance_rank(hit, "pfam", "z_score", "rid", "pfam_rank").select("rid", "l_partkey", "l_suppkey", "pfam", "pfam_rank")
+
+
+@query("hit", sql=RANKS.format(label="pfam") + " SELECT CASE WHEN k > 10 THEN 'Other' ELSE hit.pfam END AS pooled, count(*) AS n FROM hit JOIN rk ON hit.pfam = rk.pfam GROUP BY 1")
+def rank_pooling(hit):
+    ranked = selection.first_appearance_rank(hit, "pfam", "z_score", "rid", "pfam_rank")
+    return ranked.groupBy(selection.pooled(F.col("pfam_rank"), F.col("pfam"), 10).alias("pooled")).agg(F.count("*").alias("n"))
+
+
+@query("hit", sql="WITH c AS (SELECT pfam, row_number() OVER (ORDER BY count(*) DESC, pfam) AS k FROM hit GROUP BY pfam) SELECT CASE WHEN k <= 5 THEN hit.pfam ELSE 'Other' END AS top, count(*) AS n FROM hit JOIN c ON hit.pfam = c.pfam GROUP BY 1")
+def top_category(hit):
+    return selection.top_categories(hit, "pfam", 5, "top").groupBy("top").agg(F.count("*").alias("n"))
+
+
+@query("hit", sql="WITH c AS (SELECT pfam, row_number() OVER (ORDER BY max(z_score) DESC, pfam) AS k FROM hit GROUP BY pfam) SELECT CASE WHEN k <= 4 THEN hit.pfam ELSE 'other' END AS top, count(*) AS n, round(max(z_score), 6) AS z FROM hit JOIN c ON hit.pfam = c.pfam GROUP BY 1")
+def top_by_score(hit):
+    return selection.top_labels_by_score(hit, "pfam", "z_score", 4, "top").groupBy("top").agg(F.count("*").alias("n"), r6(F.max("z_score"), "z"))
+
+
+@query("hit", sql="SELECT pfam, count(*) FILTER (WHERE query_coverage > 0.5) AS n_present, count(*) FILTER (WHERE NOT query_coverage > 0.5) AS n_absent, count(*) AS n_total, round(100.0 * n_present / n_total, 6) AS pct_present, round(-100.0 * n_absent / n_total, 6) AS pct_absent FROM hit GROUP BY pfam")
+def family_presence(hit):
+    p = annotate.presence(hit, "pfam", F.col("query_coverage") > 0.5)
+    return p.select("pfam", "n_present", "n_absent", "n_total", r6("pct_present"), r6("pct_absent"))
+
+
+@query("hit", "name", sql="WITH one AS (SELECT pfam, min(name) AS name FROM name GROUP BY pfam) SELECT c.pfam, n, coalesce(one.name, '') AS name FROM (SELECT pfam, count(*) AS n FROM hit GROUP BY pfam) c LEFT JOIN one USING (pfam)")
+def counts_with_names(hit, name):
+    return annotate.counts(hit, "pfam", name)
+
+
+@query("hit", sql="WITH p AS (SELECT clan, pfam, count(DISTINCT target_id) AS n FROM hit GROUP BY 1, 2 HAVING n >= 3) SELECT pfam, " + ", ".join(f"round(ln(1 + coalesce(max(n) FILTER (WHERE clan = '{t}'), 0)), 6) AS \"m{t}\"" for t in ("ECONOMY", "STANDARD", "PROMO")) + " FROM p GROUP BY pfam")
+def module_pivot(hit):
+    mods = ["ECONOMY", "STANDARD", "PROMO"]
+    p = annotate.module_pivot(hit, "clan", "pfam", mods, 3)
+    return p.select("pfam", *(r6(f"m{m}") for m in mods))
+
+
+ARCH = "a AS (SELECT target_id, list({{'s': env_from, 'e': env_to, 'i': accession, 'v': e_value}} ORDER BY env_from, env_to, accession, e_value) AS d FROM ann WHERE e_value <= {cut} GROUP BY target_id)"
+CUT = 0.03
+
+
+@query("ann", sql=f"WITH {ARCH.format(cut=CUT)}, k AS (SELECT target_id, array_to_string(list_sort(list_distinct(list_transform(d, lambda x: x.i))), '|') AS architecture_key FROM a) SELECT architecture_key, count(*) AS architecture_count, min(target_id) AS target_id FROM k GROUP BY 1")
+def architecture_representative(ann):
+    d = annotate.architectures(ann, CUT).withColumn("z_score", F.lit(1.0))
+    return annotate.architecture_representatives(d, by_count=True).select("architecture_key", "architecture_count", "target_id")
+
+
+@query("ann", sql=f"WITH {ARCH.format(cut=0.0)}, k AS (SELECT target_id, array_to_string(list_transform(d, lambda x: x.i), '-') AS architecture FROM a) SELECT architecture, count(*) AS n, min(target_id) AS example FROM k GROUP BY 1")
+def architecture_frequency(ann):
+    d = annotate.architectures(ann, 0.0).withColumn("z_score", F.lit(1.0))
+    return annotate.architecture_frequency(d).select("architecture", "n", "example")
+
+
+@query("ann", sql=f"SELECT target_id, clan AS id, min(env_from) AS start, max(env_to) AS \"end\", min(e_value) AS e_value FROM ann WHERE e_value <= {CUT} GROUP BY 1, 2")
+def clan_merge(ann):
+    return annotate.clan_domains(ann, CUT)
+
+
+@query("ann", sql=f"WITH s AS (SELECT target_id, list(accession ORDER BY l_orderkey, accession, clan) AS p FROM ann GROUP BY 1), e AS (SELECT target_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM s), f AS (SELECT target_id, x, min(i) AS i FROM e GROUP BY 1, 2) SELECT target_id, string_agg(x, ',' ORDER BY i) AS pfam, count(*) AS n FROM f GROUP BY 1")
+def annotation_lists(ann):
+    return annotate.annotation_lists(ann, "l_orderkey").select("target_id", F.array_join("pfam", ",").alias("pfam"), F.size("pfam").cast("long").alias("n"))
+
+
+@query("hit", sql="SELECT clan, pfam, count(*) AS n, CAST(pfam IS NULL AS INT) AS is_clan FROM hit GROUP BY GROUPING SETS ((clan), (clan, pfam))")
+def sunburst_sets(hit):
+    return annotate.sunburst(hit.withColumn("m", F.lit(1)), "m", "clan", "pfam").select("clan", "pfam", "n", "is_clan")
+
+
+@query("hit", sql="WITH t AS (SELECT count(*) FILTER (WHERE z_score >= 30 AND query_coverage > 0.5) AS confirmed, count(*) FILTER (WHERE z_score >= 30 AND NOT query_coverage > 0.5) AS candidate FROM hit) SELECT CASE WHEN hit.z_score >= 30 AND tr THEN 'confirmed' WHEN hit.z_score >= 30 THEN 'candidate' WHEN tr THEN 'missed' ELSE 'rejected' END AS status, count(*) AS n FROM (SELECT *, target_id IN (SELECT target_id FROM hit WHERE query_coverage > 0.98) AS tr FROM hit) hit GROUP BY 1")
+def screening_status(hit):
+    return annotate.screening(hit, hit.where("query_coverage > 0.98"), "z_score", 30.0)[0]
+
+
+@query("hit", sql="SELECT rid, l_partkey, l_suppkey FROM hit WHERE (z_score - 20) * -sin(radians(30)) + (query_coverage - 0.3) * cos(radians(30)) > 0")
+def half_plane(hit):
+    return hit.where(selection.half_plane(F.col("z_score"), F.col("query_coverage"), 20.0, 0.3, 30.0)).select("rid", "l_partkey", "l_suppkey")
+
+
+@query("hit", sql="SELECT rid, l_partkey, l_suppkey FROM hit WHERE z_score >= 10 AND query_coverage >= 0.2 AND query_coverage > 0.1 + (0.9 - 0.1) / (50 - 10) * (z_score - 10)")
+def plane_filter(hit):
+    return hit.where(selection.plane(F.col("z_score"), F.col("query_coverage"), 10.0, 0.2, (10.0, 0.1), (50.0, 0.9))).select("rid", "l_partkey", "l_suppkey")
+
+
+@query("hit", sql="SELECT rid, l_partkey, l_suppkey FROM hit WHERE 0.8 * ln(1 + z_score) + 1.5 * query_coverage + -3.2 > 0")
+def boundary_predicate(hit):
+    return hit.where(selection.boundary(F.col("z_score"), F.col("query_coverage"), (0.8, 1.5), -3.2)).select("rid", "l_partkey", "l_suppkey")
+
+
+@query("hit", sql="SELECT pfam, count(*) AS n FROM hit WHERE z_score >= 10 AND (clan IN ('ECONOMY', 'PROMO') OR NOT query_coverage < 0.9) GROUP BY pfam")
+def predicate_string(hit):
+    from strandloom.functions.predicates import to_sql
+
+    return hit.where(to_sql("z_score >= 10 & (clan in ['ECONOMY', 'PROMO'] | ~(query_coverage < 0.9))")).groupBy("pfam").agg(F.count("*").alias("n"))
+
+
+@query("hit", sql="SELECT rid, l_partkey, l_suppkey, round(z_score, 6) AS z_score FROM hit ORDER BY hit.z_score DESC, rid, l_partkey, l_suppkey LIMIT 25 OFFSET 50")
+def page_window(hit):
+    keyed = hit.withColumn("tie", F.struct("rid", "l_partkey", "l_suppkey"))
+    return selection.page(keyed, "z_score", 50, 25, False, tie="tie").select("rid", "l_partkey", "l_suppkey", r6("z_score"))
+
+
+@query("hit", sql="SELECT CASE WHEN sequence_identity / 100 > 0.30 THEN 'homolog' WHEN sequence_identity / 100 >= 0.15 THEN 'twilight' ELSE 'dark' END AS regime, CASE WHEN z_score > 16 THEN 'very strong' WHEN z_score >= 12 THEN 'strong' WHEN z_score >= 8 THEN 'clear' WHEN z_score >= 4 THEN 'weak' ELSE 'marginal' END AS z, count(*) AS n FROM hit GROUP BY 1, 2")
+def regime_case(hit):
+    return hit.groupBy(intervals.identity_regime(F.col("sequence_identity") / 100).alias("regime"), intervals.z_regime(F.col("z_score")).alias("z")).agg(F.count("*").alias("n"))
+
+
+@query("hit", sql="SELECT query_coverage > 0.5 AS a_high, target_coverage > 0.5 AS b_high, count(*) AS n, round(count(*) / (SELECT count(*) FROM hit)::DOUBLE, 6) AS share FROM hit GROUP BY 1, 2")
+def contingency2x2(hit):
+    return statistics.contingency(hit, "query_coverage", "target_coverage").select("a_high", "b_high", "n", r6("share"))
+
+
+@query("hit", sql="WITH g AS (SELECT count(*)::DOUBLE AS \"rows\", count(*) FILTER (WHERE sequence_identity > 35)::DOUBLE AS identity_above_35, count(*) FILTER (WHERE sequence_identity BETWEEN 15 AND 35)::DOUBLE AS identity_15_to_35, count(*) FILTER (WHERE sequence_identity < 15)::DOUBLE AS identity_below_15, count(DISTINCT pfam)::DOUBLE AS families FROM hit) UNPIVOT g ON \"rows\", identity_above_35, identity_15_to_35, identity_below_15, families INTO NAME fact VALUE value".replace("UNPIVOT g ON", "SELECT fact, value FROM g UNPIVOT (value FOR fact IN (").replace(", families INTO NAME fact VALUE value", ", families))"))
+def summary_grid(hit):
+    return statistics.summary_grid(hit, "sequence_identity", "pfam")
+
+
+@query("hit", sql="SELECT CAST(floor((z_score - 0) / 2.5) AS BIGINT) AS bin, count(*) AS n FROM hit GROUP BY 1")
+def score_histogram(hit):
+    return statistics.histogram(hit, "z_score", 0.0, 2.5)
+
+
+@query("hit", sql="SELECT count(z_score) AS n, round(avg(z_score), 6) AS mean, round(stddev_pop(z_score), 6) AS sd, round(min(z_score), 6) AS low, round(max(z_score), 6) AS high, " + ", ".join(f"round(quantile_cont(z_score, {p}), 6) AS p{int(p * 100)}" for p in (0.25, 0.5, 0.75)) + " FROM hit")
+def distribution_facts(hit):
+    f = statistics.distribution_facts(hit, "z_score")
+    return f.select("n", *(r6(c) for c in f.columns[1:]))
+
+
+PILE = f"p AS (SELECT vec_id, label, list_aggregate(list_transform(v, lambda x: substr('{RESIDUES}', 1 + CAST((floor(x::DOUBLE * 1000) % 22 + 22) % 22 AS INT), 1)), 'string_agg', '') AS pile FROM vec), c AS (SELECT vec_id, label, i AS pos, substr(pile, i + 1, 1) AS c FROM (SELECT *, unnest(range(length(pile))) AS i FROM p))"
+
+
+def piles(vec: DataFrame) -> DataFrame:
+    """Pileups of the adapter: one residue a component."""
+    at = lambda x: F.substring(F.lit(RESIDUES), (F.pmod(F.floor(x.cast("double") * 1000), F.lit(22)) + 1).cast("int"), F.lit(1))
+    return vec.where("v is not null").select("vec_id", "label", F.array_join(F.transform("v", at), "").alias("pile"))
+
+
+INFO = f"""n AS (SELECT pos, c, count(*) AS n FROM c GROUP BY 1, 2), s AS (SELECT count(DISTINCT c) AS k FROM n), d AS (SELECT pos, sum(n) AS d FROM n GROUP BY 1),
+bg AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {b})" for a, b in pileup.BACKGROUND.items())}) t(aa, bg)),
+info AS (SELECT d.pos, aa, greatest(p * log2(p / bg), 0) AS bits FROM (SELECT d.pos, bg.aa, bg.bg, (coalesce(n.n, 0) + 0.1) / (d.d + 0.1 * k)::DOUBLE AS p FROM d, bg, s LEFT JOIN n ON n.pos = d.pos AND n.c = bg.aa WHERE bg.aa IN (SELECT c FROM n)) d)"""
+
+
+@query("vec", sql=f"WITH {PILE} SELECT CAST(pos AS INT) AS pos, round(avg((c <> '.')::INT), 6) AS occupancy FROM c GROUP BY pos")
+def occupancy_profile(vec):
+    return pileup.occupancy(piles(vec), "pile").select("pos", r6("occupancy"))
+
+
+@query("vec", sql=f"""WITH {PILE}, o AS (SELECT pos, power(avg((c <> '.')::INT), 0.4) AS w0 FROM c GROUP BY pos), t AS (SELECT quantile_cont(w0, 0.8) AS top FROM o WHERE w0 > 0),
+w AS (SELECT pos, least(w0, top) AS w FROM o, t) SELECT vec_id, round(sum(CASE WHEN c IN ('-', '.') THEN 0 ELSE w END) / (SELECT sum(w) FROM w), 6) AS score FROM c JOIN w ON c.pos = w.pos GROUP BY vec_id""")
+def occupancy_score(vec):
+    return pileup.occupancy_scores(piles(vec), "pile", "vec_id").select("vec_id", r6("score"))
+
+
+@query("vec", sql=f"WITH {PILE}, {INFO} SELECT CAST(pos AS INT) AS pos, aa, round(bits, 6) AS bits FROM info")
+def column_information(vec):
+    return pileup.information(piles(vec), "pile").select("pos", "aa", r6("bits"))
+
+
+@query("vec", sql=f"WITH {PILE}, {INFO} SELECT CAST(pos AS INT) AS pos, round(sum(bits), 6) AS height FROM info GROUP BY pos ORDER BY sum(bits) DESC, pos LIMIT 10")
+def top_ic(vec):
+    return pileup.conserved(pileup.information(piles(vec), "pile"), 10).select("pos", r6("height"))
+
+
+@query("vec", sql=f"WITH {PILE}, {INFO} SELECT vec_id, round(coalesce(sum(bits), 0), 6) AS profile_score FROM c LEFT JOIN info ON info.pos = c.pos AND info.aa = c.c GROUP BY vec_id")
+def profile_score(vec):
+    rows = piles(vec)
+    return pileup.profile_scores(rows, "pile", "vec_id", pileup.information(rows, "pile")).select("vec_id", r6("profile_score"))
+
+
+@query("vec", sql=f"WITH {PILE}, m AS (SELECT {' || '.join(f'substr(pile, {i}, 1)' for i in POSITIONS)} AS motif, count(*) AS n FROM p GROUP BY 1) SELECT motif, n, CASE WHEN row_number() OVER (ORDER BY n DESC, motif) <= 8 THEN motif ELSE 'other' END AS pooled FROM m")
+def motif_extract(vec):
+    return pileup.motif_counts(piles(vec), "pile", POSITIONS, 8)
+
+
+@query("vec", sql=f"WITH {PILE} SELECT label, min(vec_id) AS first_row FROM p WHERE {' OR '.join('(' + ' AND '.join(f'substr(pile, {i}, 1) IN (' + ', '.join(repr(x) for x in r) + ')' for i, r in q.items()) + ')' for q in PATTERNS)} GROUP BY label")
+def pattern_search(vec):
+    return pileup.pattern_targets(piles(vec), PATTERNS, "label", "pile", "vec_id")
+
+
+@query("vec", sql=f"WITH {PILE}, m AS (SELECT label, substr(pile, 3, 1) AS motif, count(*) AS n FROM p GROUP BY 1, 2) SELECT label, motif, n, CAST(sum(n) OVER (PARTITION BY label) AS BIGINT) AS total, round(100.0 * n / sum(n) OVER (PARTITION BY label), 6) AS row_pct FROM m")
+def motif_table(vec):
+    rows = piles(vec).select("label", F.substring("pile", 3, 1).alias("motif"))
+    return pileup.motif_table(rows, "label", "motif").select("label", "motif", "n", "total", r6("row_pct"))
+
+
+@query("vec", sql=f"WITH {PILE}, n AS (SELECT pos, c, count(*) AS n FROM c GROUP BY 1, 2) SELECT CAST(pos AS INT) AS pos, arg_max(c, (n, -ascii(c))) AS c, round(max(n) / sum(n)::DOUBLE, 6) AS share FROM n GROUP BY pos")
+def consensus(vec):
+    return statistics.consensus(pileup.columns(piles(vec), "pile", "vec_id")).select("pos", "c", r6("share"))
+
+
+@query("vec", sql=f"WITH {PILE}, e AS (SELECT vec_id, pos, CASE WHEN c IN ('H', 'G', 'I') THEN 'H' WHEN c IN ('E', 'B') THEN 'E' ELSE '-' END AS s FROM c), g AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pos) - row_number() OVER (PARTITION BY vec_id, s ORDER BY pos) AS g FROM e) SELECT vec_id, s AS state, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM g WHERE s <> '-' GROUP BY vec_id, s, g")
+def structure_runs(vec):
+    states = F.translate(F.translate("pile", "GI", "HH"), "B", "E")
+    rows = piles(vec).select("vec_id", F.regexp_replace(states, "[^HE]", "-").alias("ss"))
+    return pileup.structure_runs(rows, "vec_id", "ss").where("state != '-'")
+
+
+@query("aln", "seg", sql=f"""WITH {CLIP}, pr AS (SELECT alignment_id, q_start + i AS q, s_start + i AS t FROM (SELECT *, unnest(range(length)) AS i FROM clip)),
+cell AS (SELECT alignment_id, q, max(t) AS t FROM pr GROUP BY 1, 2) SELECT alignment_id, string_agg(chr(CAST(65 + t % 26 AS INT)), '' ORDER BY q) AS filled, count(*) AS n FROM cell GROUP BY 1""")
+def pileup_build(aln, seg):
+    letters = "".join(chr(65 + i % 26) for i in range(QUERY_LENGTH))
+    targets = aln.select("alignment_id", F.lit(letters).alias("sequence"))
+    built = pileup.build(intervals.clip(seg, REGION), targets, QUERY_LENGTH)
+    filled = F.regexp_replace("pileup", r"\.", "")
+    return built.select("alignment_id", filled.alias("filled"), F.length(filled).cast("long").alias("n"))
+
+
+@query("hit", sql="WITH m AS (SELECT DISTINCT pfam, target_id FROM hit) SELECT x.pfam AS a, y.pfam AS b, count(*) AS shared FROM m x JOIN m y USING (target_id) GROUP BY 1, 2")
+def shared_matrix(hit):
+    return sets.shared_matrix(hit, "pfam", "target_id")
+
+
+VENN = "WITH f AS (SELECT target_id, max((z_score > 40)::INT) AS a, max((query_coverage > 0.9)::INT) AS b, max((target_coverage > 0.9)::INT) AS c FROM hit GROUP BY 1)"
+
+
+@query("hit", sql=f"{VENN} SELECT concat(a, b) AS code, count(*) AS n FROM f WHERE a + b > 0 GROUP BY 1")
+def venn2(hit):
+    return sets.regions([hit.where("z_score > 40"), hit.where("query_coverage > 0.9")], "target_id")
+
+
+@query("hit", sql=f"{VENN} SELECT concat(a, b, c) AS code, count(*) AS n FROM f WHERE a + b + c > 0 GROUP BY 1")
+def venn3(hit):
+    return sets.regions([hit.where("z_score > 40"), hit.where("query_coverage > 0.9"), hit.where("target_coverage > 0.9")], "target_id")
+
+
+@query("seg", sql="WITH a AS (SELECT DISTINCT alignment_id, q_start FROM seg WHERE length > 20), b AS (SELECT DISTINCT alignment_id, q_start FROM seg WHERE s_start % 2 = 0) SELECT count(*) FILTER (WHERE b.q_start IS NULL) AS only_a, count(*) FILTER (WHERE a.q_start IS NULL) AS only_b, count(*) FILTER (WHERE a.q_start IS NOT NULL AND b.q_start IS NOT NULL) AS \"both\", round(100.0 * \"both\" / count(*), 6) AS pct_both FROM a FULL JOIN b ON a.alignment_id = b.alignment_id AND a.q_start = b.q_start")
+def trace_agreement(seg):
+    f = sets.agreement(seg.where("length > 20"), seg.where("s_start % 2 = 0"), ["alignment_id", "q_start"])
+    return f.select("only_a", "only_b", "both", r6("pct_both"))
+
+
+@query("hit", sql="SELECT target_id, count(*) AS n FROM (SELECT DISTINCT pfam, target_id FROM hit) GROUP BY 1 HAVING count(*) > 1")
+def shared_items(hit):
+    return sets.disjoint(hit, "pfam", "target_id")
+
+
+PTS = "pts AS (SELECT vec_id AS target_id, i, v[3 * i + 1]::DOUBLE * 20 AS x, v[3 * i + 2]::DOUBLE * 20 AS y, v[3 * i + 3]::DOUBLE * 20 AS z FROM (SELECT *, unnest(range(21)) AS i FROM vec))"
+CELLS = PTS + f", vx AS (SELECT target_id, i, (floor(x / {CELL})::BIGINT + 65536) * 17179869184 + (floor(y / {CELL})::BIGINT + 65536) * 131072 + floor(z / {CELL})::BIGINT + 65536 AS cell FROM pts), dw AS (SELECT target_id, cell, count(*) AS dwell FROM vx GROUP BY 1, 2)"
+IDF = CELLS + ", idf AS (SELECT cell, count(*) AS n_targets, least(ln(((SELECT count(DISTINCT target_id) FROM dw) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)), 5.0) AS idf FROM dw GROUP BY 1)"
+WEIGHTS = IDF + ", w0 AS (SELECT target_id, dw.cell, dwell * idf AS w FROM dw JOIN idf USING (cell)), w AS (SELECT * FROM w0 WHERE w > 1e-7), nm AS (SELECT target_id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY 1)"
+KERNEL = ", k AS (SELECT * FROM (VALUES " + ", ".join(f"({d}, {f!r}::DOUBLE)" for d, f in fingerprint.cross_kernel()) + ") t(d, f))"
+TOPK = WEIGHTS + KERNEL + """, raw AS (SELECT a.target_id AS src, b.target_id AS dst, sum(a.w * f * b.w) AS raw FROM w a, k JOIN w b ON b.cell = a.cell + d WHERE a.target_id <> b.target_id GROUP BY 1, 2),
+sc AS (SELECT src, dst, round(raw / (x.norm * y.norm), 9) AS score FROM raw JOIN nm x ON x.target_id = src JOIN nm y ON y.target_id = dst WHERE raw > 0),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM sc) WHERE rank <= 5)"""
+
+
+def points(vec: DataFrame) -> DataFrame:
+    """Points of the adapter: 21 a vector, in thirds of its components."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i")
+    rows = vec.where("v is not null").select(F.col("vec_id").alias("target_id"), "v", i)
+    return rows.select("target_id", "i", *((F.col("v")[3 * F.col("i") + k].cast("double") * 20).alias(c) for k, c in enumerate("xyz")))
+
+
+def weights(vec: DataFrame):
+    cells = fingerprint.voxels(points(vec), CELL)
+    return fingerprint.fingerprints(cells, fingerprint.capped_idf(cells.select("target_id", "cell")))
+
+
+def top_neighbours(vec: DataFrame) -> DataFrame:
+    scores = fingerprint.soft_overlap(*weights(vec), fingerprint.cross_kernel()).withColumn("score", F.round("score", 9))
+    return fingerprint.nearest(scores, 5)
+
+
+@query("vec", sql=f"WITH {CELLS} SELECT target_id, cell, dwell FROM dw")
+def voxel_hash(vec):
+    return fingerprint.voxels(points(vec), CELL).select("target_id", "cell", "dwell")
+
+
+@query("vec", sql=f"WITH {IDF} SELECT cell, n_targets, round(idf, 6) AS idf FROM idf")
+def voxel_idf(vec):
+    cells = fingerprint.voxels(points(vec), CELL)
+    return fingerprint.capped_idf(cells.select("target_id", "cell")).select("cell", "n_targets", r6("idf"))
+
+
+@query("vec", sql=f"WITH {WEIGHTS} SELECT target_id, count(*) AS n, round(sum(w), 6) AS w, round(any_value(norm), 6) AS norm FROM w JOIN nm USING (target_id) GROUP BY 1")
+def fingerprint_weight(vec):
+    w, norms = weights(vec)
+    return w.groupBy("target_id").agg(F.count("*").alias("n"), r6(F.sum("w"), "w")).join(norms, "target_id").select("target_id", "n", "w", r6("norm"))
+
+
+@query("vec", sql=f"WITH {TOPK} SELECT src, dst, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM top")
+def soft_overlap_topk(vec):
+    return top_neighbours(vec).select("src", "dst", r6("score"), "rank")
+
+
+@query("vec", sql=f"WITH {TOPK} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(score), 6) AS score FROM top GROUP BY 1, 2")
+def knn_symmetrise(vec):
+    return fingerprint.symmetrised(top_neighbours(vec)).select("a", "b", r6("score"))
+
+
+@query("vec", sql=f"WITH {CELLS}, s AS (SELECT target_id, sum(dwell) AS s FROM dw GROUP BY 1), n AS (SELECT a.target_id AS a, b.target_id AS b, sum(least(a.dwell, b.dwell)) AS n FROM dw a JOIN dw b USING (cell) WHERE a.target_id < b.target_id GROUP BY 1, 2) SELECT a, b, round(n / (x.s + y.s - n)::DOUBLE, 6) AS similarity FROM n JOIN s x ON x.target_id = a JOIN s y ON y.target_id = b WHERE n / (x.s + y.s - n)::DOUBLE >= 0.1")
+def ruzicka(vec):
+    cells = fingerprint.voxels(points(vec), CELL).select("target_id", "cell", F.col("dwell").alias("w"))
+    return fingerprint.ruzicka(cells, 0.1).select("a", "b", r6("similarity"))
+
+
+@query("vec", sql=f"WITH {CELLS}, g AS (SELECT *, CASE WHEN lag(cell) OVER (PARTITION BY target_id ORDER BY i) IS NOT DISTINCT FROM cell THEN 0 ELSE 1 END AS n FROM vx), h AS (SELECT *, sum(n) OVER (PARTITION BY target_id ORDER BY i) AS run FROM g) SELECT target_id, CAST(run AS BIGINT) AS run, any_value(cell) AS cell, count(*) AS dwell FROM h GROUP BY target_id, run")
+def rle_trace(vec):
+    return fingerprint.trace(points(vec), CELL).select("target_id", F.col("run").cast("long").alias("run"), "cell", "dwell")
+
+
+@query("vec", sql=f"WITH {CELLS} SELECT cell, count(*) AS occupancy, round(ln(1 + count(*)), 6) AS weight FROM dw GROUP BY cell HAVING count(*) >= greatest(2, (SELECT ceil(count(DISTINCT target_id) * 0.002) FROM dw))")
+def cell_census(vec):
+    return fingerprint.census(fingerprint.voxels(points(vec), CELL), 0.002).select("cell", "occupancy", r6("weight"))
+
+
+@query("vec", sql=f"WITH {PTS} SELECT a.target_id, CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS i_b, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 6) AS d2 FROM pts a JOIN pts b ON a.target_id = b.target_id AND a.i < b.i WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 9")
+def radius_pairs(vec):
+    from strandloom.operators.geometry import radius_pairs as join
+
+    p = points(vec)
+    return join(p, p, 3.0, "target_id").where("i < i_b").select("target_id", "i", "i_b", r6("d2"))
+
+
+@query("vec", sql=f"WITH {TOPK}, e AS (SELECT src, dst, score AS w FROM top) SELECT least(x.label, y.label) AS a, greatest(x.label, y.label) AS b, round(sum(w), 6) AS weight FROM e JOIN vec x ON x.vec_id = src JOIN vec y ON y.vec_id = dst WHERE x.label <> y.label GROUP BY 1, 2")
+def contraction(vec):
+    edges = top_neighbours(vec).select("src", "dst", F.col("score").alias("w"))
+    return cluster.contracted(edges, vec.select(F.col("vec_id").alias("node"), F.col("label").alias("cluster"))).select("a", "b", r6("weight"))
+
+
+@query("vec", sql=f"WITH {PTS} SELECT target_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM pts WHERE i >= 3 AND i < 15 GROUP BY 1")
+def centroid(vec):
+    return fingerprint.centroid(points(vec), [(3, 15)]).select("target_id", r6("x"), r6("y"), r6("z"))
+
+
+TOKENS = f"tk AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+(?:-[a-z0-9]+)*)', 1), lambda w: w NOT IN ({', '.join(map(repr, text_mining.STOPWORDS))})) AS w FROM text)"
+
+
+@query("text", sql=f"WITH {TOKENS}, t AS (SELECT doc_id, unnest(w) AS w FROM tk) SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY w")
+def tokens(text):
+    rows = text.select("doc_id", F.explode(text_mining.tokens(F.col("text"))).alias("w")).groupBy("w", "doc_id").agg(F.count("*").alias("n"))
+    return rows.groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+@query("text", sql="WITH k AS (SELECT lang, array_to_string(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: NOT regexp_matches(w, '[0-9]')), ' ') AS t FROM text) SELECT lang, CAST(sum(length(t)) AS BIGINT) AS chars, count(DISTINCT t) AS texts FROM k GROUP BY lang")
+def normalised_text(text):
+    return text.select("lang", text_mining.normalised(F.col("text")).alias("t")).groupBy("lang").agg(F.sum(F.length("t")).alias("chars"), F.count_distinct("t").alias("texts"))
+
+
+@query("item", sql="WITH s AS (SELECT string_split(text, ' ') AS w FROM item), x AS (SELECT upper(array_to_string(w[1:n], ' ')) AS stem, n AS words FROM s, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n) SELECT stem, words, count(*) AS n FROM x GROUP BY 1, 2 HAVING count(*) >= 2")
+def stem_prefixes(item):
+    return text_mining.stem_counts(item, "text")
+
+
+@query("text", sql=f"WITH {TOKENS}, g AS (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS ngram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM tk)) SELECT ngram, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1 HAVING count(*) >= 2")
+def ngram_counts(text):
+    rows = text.select("doc_id", text_mining.tokens(F.col("text")).alias("w"))
+    return text_mining.ngram_counts(rows, "doc_id", "w", 3, 3)
+
+
+NGRAMS = "s AS (SELECT id, module, string_split(text, ' ') AS w FROM item), g AS (SELECT DISTINCT id, module, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s, (SELECT unnest([1, 2]) AS n) WHERE len(w) >= n))"
+
+
+@query("item", sql=f"WITH {NGRAMS}, c AS (SELECT ngram, count(*) FILTER (WHERE module = 'Brand#2') AS tf, count(*) AS df FROM g GROUP BY 1) SELECT ngram, tf, df, round((1 + ln(tf)) * (ln(((SELECT count(*) FROM s) + 1) / (df + 1)::DOUBLE) + 1), 6) AS score FROM c WHERE tf > 0")
+def tfidf(item):
+    rows = item.select("id", "module", F.split("text", " ").alias("w"))
+    return text_mining.tf_idf(rows, "id", "w", F.col("module") == "Brand#2", 1, 2).select("ngram", "tf", "df", r6("score"))
+
+
+@query("item", sql=f"WITH {NGRAMS}, m AS (SELECT module, ngram, count(*) AS in_module FROM g GROUP BY 1, 2), a AS (SELECT ngram, count(*) AS in_all FROM g GROUP BY 1 HAVING count(*) >= 2), z AS (SELECT module, count(*) AS size FROM item GROUP BY 1) SELECT module, ngram, in_module, in_all, round(in_module / size::DOUBLE, 6) AS precision, round(in_module / in_all::DOUBLE, 6) AS recall FROM m JOIN a USING (ngram) JOIN z USING (module)")
+def enriched_ngrams(item):
+    rows = item.select("id", "module", F.split("text", " ").alias("w"))
+    return text_mining.enriched_ngrams(rows, "id", "w", "module", 1, 2).select("module", "ngram", "in_module", "in_all", r6("precision"), r6("recall"))
+
+
+@query("hit", sql="WITH p AS (SELECT pfam, clan, least(1.0, exp(-avg(z_score) / 4)) AS p FROM hit GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY round(p, 9), pfam || clan) AS k, count(*) OVER () AS m FROM p) SELECT pfam, clan, round(least(1.0, min(round(p, 9) * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r")
+def bh_adjust(hit):
+    p = hit.groupBy("pfam", "clan").agg(F.round(F.least(F.lit(1.0), F.exp(-F.avg("z_score") / 4)), 9).alias("p")).withColumn("key", F.concat("pfam", "clan"))
+    return selection.benjamini_hochberg(p, "p", "q", tie="key").select("pfam", "clan", r6("q"))
+
+
+@query("hit", sql="WITH r AS (SELECT pfam, query_coverage, (rank() OVER (ORDER BY query_coverage)) + (count(*) OVER (PARTITION BY query_coverage) - 1) / 2.0 AS k FROM hit), t AS (SELECT sum(c::DOUBLE * c * c - c) AS tie_term FROM (SELECT count(*) AS c FROM hit GROUP BY query_coverage)) SELECT pfam, count(*) AS n1, (SELECT count(*) FROM hit) - count(*) AS n2, round(sum(k)::DOUBLE - count(*) * (count(*) + 1) / 2.0, 3)::DOUBLE AS u, (SELECT tie_term FROM t) AS tie_term FROM r GROUP BY pfam")
+def mwu_statistic(hit):
+    return statistics.mann_whitney(hit, "pfam", "query_coverage").select("pfam", "n1", "n2", F.round(F.col("u").cast("double"), 3).alias("u"), "tie_term")
+
+
+@query("hit", sql="""WITH t AS (SELECT pfam, clan, count(*)::DOUBLE AS n FROM hit GROUP BY 1, 2), g AS (SELECT sum(n) AS m, sum(n * ln(n)) AS j FROM t), c AS (SELECT sum(n * ln(n)) AS c, sum(x) AS mx FROM (SELECT sum(n) AS n, max(n) AS x FROM t GROUP BY pfam)),
+f AS (SELECT sum(n * ln(n)) AS f FROM (SELECT sum(n) AS n FROM t GROUP BY clan)), h AS (SELECT mx / m AS purity, ln(m) - c / m AS hc, ln(m) - f / m AS hf, ln(m) - j / m AS hj FROM g, c, f)
+SELECT round(purity, 6) AS purity, round(greatest(hc + hf - hj, 0) / ((hc + hf) / 2), 6) AS nmi, round(greatest(hc + hf - hj, 0) / hf, 6) AS homogeneity, round(greatest(hc + hf - hj, 0) / hc, 6) AS completeness FROM h""")
+def purity_nmi(hit):
+    return cluster.agreement(hit, "pfam", "clan").select(r6("purity"), r6("nmi"), r6("homogeneity"), r6("completeness"))
+
+
+# No SQL form: tested against brute force.
+
+
+@query("vec")
+def kabsch_rmsd(vec):
+    from strandloom.operators.geometry import superposed
+
+    p = points(vec)
+    turned = p.select("target_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), (4 - F.col("y")).alias("qx"), (5 + F.col("x")).alias("qy"), (6 + F.col("z") * F.when(F.col("i") == 0, 1.5).otherwise(1.0)).alias("qz"))
+    return superposed(turned, "target_id").select("target_id", r6("rmsd"))
+
+
+def neighbour_pairs(vec: DataFrame) -> DataFrame:
+    return fingerprint.symmetrised(top_neighbours(vec)).select("a", "b")
+
+
+@query("vec")
+def structal_score(vec):
+    from strandloom.operators import structal
+
+    return structal.pair_scores(neighbour_pairs(vec), structal.structures(points(vec))).select("a", "b", r6("score"), r6("normalised"))
+
+
+@query("vec")
+def lcs(vec):
+    from strandloom.operators import structal
+
+    t = fingerprint.trace(points(vec), CELL).groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("run", "cell"))).alias("r"))
+    t = t.select("target_id", F.transform("r", lambda x: x["cell"]).alias("t"))
+    pairs = neighbour_pairs(vec).join(t.select(F.col("target_id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("target_id").alias("b"), F.col("t").alias("tb")), "b")
+    return structal.lcs_scores(pairs).select("a", "b", "lcs", r6("lcs_similarity"))
+
+
+@query("vec")
+def communities(vec):
+    return cluster.communities(fingerprint.symmetrised(top_neighbours(vec)))
+
+
+@query("hit")
+def group_test(hit):
+    return statistics.group_test(hit, "pfam", "z_score").select("pfam", "n1", "n2", r6("p_value"), r6("q_value"), r6("median"), "significant")
+
+
+@query("vec")
+def column_significance(vec):
+    t = statistics.column_tests(pileup.columns(piles(vec), "pile", "label"), "label", 1)
+    return t.select("pos", r6("in_group"), r6("rest"), r6("p_value"), r6("q_value"))
+
+
+@query("vec")
+def nonredundant(vec):
+    from strandloom.operators.sequential import nonredundant as select
+
+    return select(piles(vec), "vec_id", "pile", 0.3)
+
+
+@query("vec")
+def module_cohesion(vec):
+    from strandloom.operators import structal
+
+    members = vec.select(F.col("label").alias("module"), F.col("vec_id").alias("target_id"))
+    out = structal.cohesion(members, structal.structures(points(vec)), 200)
+    return out.select("module", r6("within"), r6("between"), r6("separation"))
