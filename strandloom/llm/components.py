@@ -2,14 +2,15 @@
 
 Every round is a handful of equi-joins and minima with partial aggregation; a node with very many
 links is spread over tasks like any other. Rounds are written to the shared folder and earlier
-ones deleted. Nothing is gathered on the driver but one count and one checksum a round.
+ones deleted. Nothing is gathered on the driver but one count and one checksum a round. A link table
+below a size that is checked each round stays in one partition, where the same steps need no shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import discard, written
+from .storage import discard, gathered_if_small, written
 
 ROUNDS = 60
 
@@ -39,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not mark[0]:
             break
-        after = written(_stars(edges), "links")
+        after = written(_stars(gathered_if_small(edges, mark[0])), "links")
         seen, mark = mark, _mark(after)
         discard(edges)
         edges = after

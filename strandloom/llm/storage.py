@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def gathered_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
+    """df in one partition where it holds no more than `limit` rows: its joins and sums then need no shuffle."""
+    return df.coalesce(1) if rows <= limit else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by written(), once nothing reads it any more."""
     spark = df.sparkSession
