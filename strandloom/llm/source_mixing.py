@@ -23,6 +23,8 @@ from .storage import written
 #: Without given targets each marginal's shares are raised to this power: large categories give way.
 TEMPER = 0.9
 ROUNDS = 8
+#: Up to so many cells are raked in one partition, more by joins.
+FEW_CELLS = 100_000
 MARGINALS = ("source", "lang", "topic")
 
 #: Topic by form of the text; the first that holds.
@@ -43,6 +45,11 @@ RAKE = """
 SELECT c.source, c.lang, c.topic, c.t, CASE WHEN m.s > 0 THEN c.x * g.share * c.total / m.s ELSE 0.0 END AS x, c.total
 FROM {{cells}} c JOIN (SELECT {by}, sum(x) AS s FROM {{cells}} GROUP BY {by}) m ON c.{by} = m.{by} JOIN {{target}} g ON c.{by} = g.{by}"""
 
+#: The same step on a table in one partition, where a window needs no shuffle; share_* stand in the rows.
+RAKE_INSIDE = """
+SELECT source, lang, topic, t, share_source, share_lang, share_topic, total,
+  CASE WHEN s > 0 THEN x * share_{by} * total / s ELSE 0.0 END AS x FROM (SELECT *, sum(x) OVER (PARTITION BY {by}) AS s FROM {{cells}}) c"""
+
 WEIGHTS = """
 SELECT source, lang, topic, coalesce(x / nullif(t, 0), 0.0) AS weight, (SELECT max(coalesce(x / nullif(t, 0), 0.0)) FROM {cells}) AS top FROM {cells}"""
 
@@ -65,7 +72,7 @@ def _rows(docs: DataFrame, topic: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", F.expr(topic).alias("topic"), "n_tokens", u.alias("u"))
 
 
-def weighted(docs: DataFrame, topic: str = TOPIC, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def weighted(docs: DataFrame, topic: str = TOPIC, temper: float = TEMPER, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, few_cells: int = FEW_CELLS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, selected for docs(doc_id, text, lang, source).
 
     Categories are prefixed with `=`; null is the empty string. targets: per marginal a table
@@ -75,11 +82,21 @@ def weighted(docs: DataFrame, topic: str = TOPIC, temper: float = TEMPER, target
     rows = written(_rows(docs.select("doc_id", "text", "lang", "source"), topic), "mix-rows")
     cells = written(spark.sql(CELLS, rows=rows), "mix-cells")
     target = {by: (targets or {}).get(by) or written(spark.sql(TEMPERED.format(by=by, temper=temper), cells=cells), f"mix-{by}") for by in MARGINALS}
+    n = cells.count()
     raked = spark.sql(START, cells=cells)
+    if n <= few_cells:
+        for by in MARGINALS:
+            raked = raked.join(target[by].withColumnRenamed("share", f"share_{by}"), by)
+        raked = raked.coalesce(1)
     for _ in range(rounds):
         for by in MARGINALS:
-            raked = spark.sql(RAKE.format(by=by), cells=raked, target=target[by])
-        raked = written(raked, "mix-raked")
+            if n <= few_cells:
+                raked = spark.sql(RAKE_INSIDE.format(by=by), cells=raked)
+            else:
+                raked = spark.sql(RAKE.format(by=by), cells=raked, target=target[by])
+        if n > few_cells:
+            raked = written(raked, "mix-raked")
+    raked = written(raked, "mix-raked")
     return spark.sql(DRAWN, rows=rows, weights=spark.sql(WEIGHTS, cells=raked))
 
 
