@@ -199,9 +199,11 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, ho
     """
     docs = docs.select("doc_id", "text")
     runs = written(docs.mapInArrow(_runs(width, gram), RUNS), "suffix-runs")
-    twice = runs.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram")
+    # a table of its own, so that the join below may split a gram that very many runs share
+    twice = written(runs.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram"), "suffix-twice")
     shared = written(runs.join(twice, "gram"), "suffix-shared")
     discard(runs)
+    discard(twice)
     spans = shared.groupBy("gram", "span").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "off")).alias("rep"))
     per_gram = spans.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     mixed = written(spans.join(per_gram, "gram"), "suffix-mixed")
