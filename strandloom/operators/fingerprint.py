@@ -69,6 +69,11 @@ def gaussian_kernel(sigma: float = 1.0) -> list[tuple[int, float]]:
     return [(delta(*s), r / sum(raw)) for s, r in zip(steps, raw)]
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by the key over all shuffle partitions: few bytes here become many pairs, which size-based coalescing cannot know."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def soft_overlap(w: DataFrame, norms: DataFrame, kernel: list[tuple[int, float]], min_score: float = 0.0) -> DataFrame:
     """(src, dst, score): kernel-smoothed inner products over the product of norms, self left out.
 
@@ -77,7 +82,7 @@ def soft_overlap(w: DataFrame, norms: DataFrame, kernel: list[tuple[int, float]]
     k = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(f).alias("f")) for d, f in kernel))).alias("k")
     smooth = w.select(F.col("target_id").alias("src"), "cell", "w", k).select("src", (F.col("cell") + F.col("k.d")).alias("cell"), (F.col("w") * F.col("k.f")).alias("ws"))
     smooth = smooth.groupBy("src", "cell").agg(F.sum("ws").alias("ws"))
-    raw = smooth.join(w.select(F.col("target_id").alias("dst"), "cell", F.col("w").alias("wt")), "cell").where("src != dst")
+    raw = spread(smooth, "cell").join(spread(w.select(F.col("target_id").alias("dst"), "cell", F.col("w").alias("wt")), "cell"), "cell").where("src != dst")
     raw = raw.groupBy("src", "dst").agg(F.sum(F.col("ws") * F.col("wt")).alias("raw")).where(F.col("raw") > min_score)
     a, b = norms.select(F.col("target_id").alias("src"), F.col("norm").alias("na")), norms.select(F.col("target_id").alias("dst"), F.col("norm").alias("nb"))
     out = raw.join(a, "src").join(b, "dst").where("na * nb > 0")
@@ -98,7 +103,8 @@ def symmetrised(edges: DataFrame) -> DataFrame:
 def ruzicka(w: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(a, b, similarity): weighted Jaccard of every two targets that share a cell."""
     sums = w.groupBy("target_id").agg(F.sum("w").alias("s"))
-    pairs = w.select(F.col("target_id").alias("a"), "cell", F.col("w").alias("wa")).join(w.select(F.col("target_id").alias("b"), "cell", F.col("w").alias("wb")), "cell").where("a < b")
+    one, two = (spread(w.select(F.col("target_id").alias(n), "cell", F.col("w").alias(f"w{n}")), "cell") for n in "ab")
+    pairs = one.join(two, "cell").where("a < b")
     shared = pairs.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("n"))
     sa, sb = sums.select(F.col("target_id").alias("a"), F.col("s").alias("sa")), sums.select(F.col("target_id").alias("b"), F.col("s").alias("sb"))
     out = shared.join(sa, "a").join(sb, "b").select("a", "b", (F.col("n") / (F.col("sa") + F.col("sb") - F.col("n"))).alias("similarity"))
