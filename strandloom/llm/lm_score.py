@@ -93,6 +93,19 @@ def _gathered(depth: int, parts: int):
     return run
 
 
+def least_count(rows: DataFrame, count: str, limit: int) -> int:
+    """The least count such that no more than `limit` rows reach it, from a histogram of counts: exact to 1023, sixteen bins an octave above."""
+    c = F.col(count)
+    level = F.when(c < 1024, c).otherwise(1024 + F.floor(16 * F.log2(c / 1024))).alias("level")
+    held, cut = 0, 1 << 62
+    for r in sorted(rows.groupBy(level).agg(F.count("*").alias("n"), F.min(c).alias("low")).collect(), key=lambda r: -r["level"]):
+        held += r["n"]
+        if held > limit:
+            break
+        cut = r["low"]
+    return cut
+
+
 def _tree(grams: DataFrame, depth: int, nodes: int) -> Tree:
     """The tree of the most frequent contexts of grams(gram, c)."""
     at_depth = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")
@@ -100,13 +113,16 @@ def _tree(grams: DataFrame, depth: int, nodes: int) -> Tree:
         "d", F.expr(f"shiftright(gram, 8) & (shiftleft(1L, {BITS} * d) - 1)").alias("ctx"), F.expr("cast(gram & 255 as int)").alias("byte"), "c"
     )
     bytes_of = spread.groupBy("d", "ctx", "byte").agg(F.sum("c").alias("c"))
-    kept = written(bytes_of.groupBy("d", "ctx").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "d", "ctx").limit(nodes), "contexts")
-    order = kept.orderBy(F.desc("n"), "d", "ctx").toArrow()
+    seen = written(bytes_of.groupBy("d", "ctx").agg(F.sum("c").alias("n")), "contexts")
+    kept = seen.where((F.col("n") >= least_count(seen, "n", nodes)) | (F.col("d") == 0))
+    order = kept.toArrow()
     if not order.num_rows:
         none = np.zeros(0, np.int64)
         return Tree(np.zeros(1, np.int64), np.zeros(1, np.int64), none, none, none)
     rows = spread.join(F.broadcast(kept.select("d", "ctx")), ["d", "ctx"]).groupBy("d", "ctx", "byte").agg(F.sum("c").alias("c")).toArrow()
     depths, keys = (order.column(n).to_numpy().astype(np.int64) for n in ("d", "ctx"))
+    first = np.lexsort((keys, depths))
+    depths, keys = depths[first], keys[first]
     # contexts of up to five six-bit classes and their depth fit one integer
     code = lambda d, k: k << 4 | d
     known = code(depths, keys)
@@ -173,7 +189,7 @@ def scored(docs: DataFrame, parts: int = HELD_OUT, depth: int = DEPTH, nodes: in
     v, n = v + (trained > 0), n + trained
     whole = n + 0.1 * (v + 1)
     log = lambda c: math.log10((c + 0.1) / whole)
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    top = vocabulary.where(F.col("c") >= least_count(vocabulary, "c", frequent)).toArrow()
     words = top.column("word").to_pylist()
     model = spark.sparkContext.broadcast((_tree(grams, depth, nodes), words, [log(c) for c in top.column("c").to_pylist()], (log(trained), trained)))
     schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word: binary, tf: long>>"

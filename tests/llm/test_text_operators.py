@@ -163,7 +163,9 @@ def test_context_tree_by_the_textbook(spark, depth, nodes):
     total = collections.Counter()
     for (d, k, _), n in c.items():
         total[d, k] += n
-    kept = sorted(total, key=lambda q: (-total[q], *q))[:nodes]
+    # whole levels of counts, the highest first, as long as they fit
+    cut = min((n for n in total.values() if sum(m >= n for m in total.values()) <= nodes), default=math.inf)
+    kept = [q for q in total if total[q] >= cut or q[0] == 0]
     counts = {q: [c[(*q, b)] for b in range(256)] for q in kept}
     for i, b in coded.items():
         assert got[i] == pytest.approx(context_tree.plain_score(b, counts, depth), abs=1e-3)
