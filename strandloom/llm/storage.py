@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process has written and not deleted.
+_KEPT: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +29,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _KEPT.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -37,11 +42,21 @@ def gathered_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFra
     return df.coalesce(1) if rows <= limit else df
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _KEPT.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    home = shared_dir(spark).split("://")[-1].split(":", 1)[-1]
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if home in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    held = {p.rsplit("/", 1)[-1]: p for p in _KEPT}
+    for name in {f.rsplit("/", 2)[-2] for f in df.inputFiles()}:
+        if name in held:
+            _delete(df.sparkSession, held[name])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this process has written; results that are still to be computed from them are lost."""
+    for path in sorted(_KEPT):
+        _delete(spark, path)
