@@ -453,7 +453,7 @@ def tokens(text):
     return rows.groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
-@query("text", sql="WITH k AS (SELECT lang, array_to_string(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: NOT regexp_matches(w, '[0-9]')), ' ') AS t FROM text) SELECT lang, CAST(sum(length(t)) AS BIGINT) AS chars, count(DISTINCT t) AS texts FROM k GROUP BY lang")
+@query("text", sql="WITH k AS (SELECT lang, array_to_string(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: NOT regexp_matches(w, '[0-9]') AND w NOT IN (" + ", ".join(map(repr, text_mining.STOPWORDS)) + ")), ' ') AS t FROM text) SELECT lang, CAST(sum(length(t)) AS BIGINT) AS chars, count(DISTINCT t) AS texts FROM k GROUP BY lang")
 def normalised_text(text):
     return text.select("lang", text_mining.normalised(F.col("text")).alias("t")).groupBy("lang").agg(F.sum(F.length("t")).alias("chars"), F.count_distinct("t").alias("texts"))
 

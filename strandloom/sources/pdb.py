@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 LETTERS = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
-    "MSE": "M", "SEC": "U", "PYL": "O",
+    "MSE": "M",
 }
-#: Solvent and buffer residues that are no ligands.
-SOLVENT = ("HOH", "WAT", "DOD", "GOL", "EDO", "PEG", "SO4", "PO4", "ACT", "DMS")
+#: Solvent and buffer residues that are no ligands, and metals that always are.
+SOLVENT = ("HOH", "WAT", "TIP", "DOD", "SO4", "PO4", "EDT", "ACT", "PEG", "PGE", "PG4", "EDO", "GOL", "DMS", "MES", "TRS", "CL", "NA", "K", "MG", "CA", "2PA")
+METALS = ("ZN", "FE", "CU", "MN", "MG", "CA", "CO", "NI", "MO", "W")
 
 
 def _field(start: int, end: int) -> Column:
@@ -55,7 +56,9 @@ def renumbered(atom_rows: DataFrame, chain: str) -> DataFrame:
     whole = own.groupBy(*key).agg(F.collect_set("name").alias("n"), F.min("line").alias("first")).where(F.size(F.array_except(F.array(*map(F.lit, ("N", "CA", "C", "O"))), "n")) == 0)
     number = whole.select(*key, F.row_number().over(Window.orderBy("first")).alias("new"))
     kept = own.join(number, key).withColumn("resnum", F.col("new")).drop("new")
-    hetero = atom_rows.where((F.col("chain") == chain) & (F.col("record") == "HETATM") & ~F.col("resname").isin(*SOLVENT))
+    metal = F.col("resname").isin(*METALS)
+    ligand = metal | (~F.col("resname").isin(*SOLVENT) & (F.length("resname") >= 3))
+    hetero = atom_rows.where((F.col("chain") == chain) & (F.col("record") == "HETATM") & ligand)
     return kept.unionByName(hetero).orderBy("line")
 
 

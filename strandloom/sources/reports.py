@@ -8,18 +8,19 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Identifiers of the structure collections.
-NAMESPACES = {"PDB": 1, "AFDB2": 2, "AFDB": 2, "VIRO3D": 3, "ESM": 4}
+NAMESPACES = {"PDB": 1, "AFDB2": 2, "AFDB": 2, "ALPHA_FOLD": 2, "BFVD": 3, "VIRO3D": 4, "VIRO": 4, "VAD": 4, "TOXO": 4}
 COLUMNS = {
-    "target_id": ("target_id", "target", "sbjct", "subject"),
-    "namespace": ("namespace", "database", "db"),
     "z_score": ("z_score", "zscore", "z"),
-    "qstarts": ("qstarts", "q_starts", "query_starts"),
-    "sstarts": ("sstarts", "s_starts", "subject_starts"),
-    "lengths": ("lengths", "block_lengths"),
+    "target_id": ("target_id", "target", "subject", "sbjct", "shjct"),
+    "namespace": ("namespace", "database", "division"),
+    "qstarts": ("qstarts", "q_start", "q_starts"),
+    "sstarts": ("sstarts", "s_start", "s_starts"),
+    "lengths": ("lengths", "length", "segment_lengths"),
 }
+#: Columns of the headerless result table.
 RESULT = (
-    "query string, target_id string, z_score double, rmsd double, aligned int, query_length int, target_length int, identity double, qstarts string, sstarts string, lengths string, "
-    "rotation string, translation string, description string"
+    "cd1 string, sbjct string, z_score double, rmsd double, `ali-length` int, `sbjct-length-cropped` int, `seq-identity` double, qstarts string, sstarts string, lengths string, "
+    "rotation string, translation string, null1 string, null2 string"
 )
 LEAST_DOMAIN = 80
 
