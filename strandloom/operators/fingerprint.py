@@ -9,9 +9,13 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.functions.partitioning import spread
+
 #: A cell is packed as three 17-bit fields offset by 2^16.
 OFFSET = 1 << 16
 EPSILON = 1e-7
+#: Fingerprint rows (24 bytes each) up to which one side of an overlap is sent to all tasks.
+BROADCAST_ROWS = 2_000_000
 
 
 def pack(x: Column, y: Column, z: Column) -> Column:
@@ -69,20 +73,22 @@ def gaussian_kernel(sigma: float = 1.0) -> list[tuple[int, float]]:
     return [(delta(*s), r / sum(raw)) for s, r in zip(steps, raw)]
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """rows dealt by the key over all shuffle partitions: few bytes here become many pairs, which size-based coalescing cannot know."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 def soft_overlap(w: DataFrame, norms: DataFrame, kernel: list[tuple[int, float]], min_score: float = 0.0) -> DataFrame:
     """(src, dst, score): kernel-smoothed inner products over the product of norms, self left out.
 
-    The smoothed side meets the other on the packed cell: an equi-join that Spark may split where a cell is crowded.
+    The smoothed side meets the other on the packed cell. The other side is sent to all tasks up to a
+    number of rows that is checked; beyond it both are dealt by cell.
     """
     k = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(f).alias("f")) for d, f in kernel))).alias("k")
     smooth = w.select(F.col("target_id").alias("src"), "cell", "w", k).select("src", (F.col("cell") + F.col("k.d")).alias("cell"), (F.col("w") * F.col("k.f")).alias("ws"))
     smooth = smooth.groupBy("src", "cell").agg(F.sum("ws").alias("ws"))
-    raw = spread(smooth, "cell").join(spread(w.select(F.col("target_id").alias("dst"), "cell", F.col("w").alias("wt")), "cell"), "cell").where("src != dst")
+    other = w.select(F.col("target_id").alias("dst"), "cell", F.col("w").alias("wt"))
+    if w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # a source's pairs then arise where its sum is taken: no pair is shuffled
+        raw = spread(smooth, "src").join(F.broadcast(other), "cell")
+    else:
+        raw = spread(smooth, "cell").join(spread(other, "cell"), "cell")
+    raw = raw.where("src != dst")
     raw = raw.groupBy("src", "dst").agg(F.sum(F.col("ws") * F.col("wt")).alias("raw")).where(F.col("raw") > min_score)
     a, b = norms.select(F.col("target_id").alias("src"), F.col("norm").alias("na")), norms.select(F.col("target_id").alias("dst"), F.col("norm").alias("nb"))
     out = raw.join(a, "src").join(b, "dst").where("na * nb > 0")

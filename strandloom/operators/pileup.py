@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandloom.functions.partitioning import spread
+
 from .intervals import residue_pairs
 
 #: Background frequencies of the amino acids.
@@ -24,14 +26,19 @@ def build(segments: DataFrame, targets: DataFrame, query_length: int) -> DataFra
 
     Of several targets for one column the last in the sequence stays.
     """
-    pairs = residue_pairs(segments).where((F.col("q") >= 0) & (F.col("q") < query_length)).select("alignment_id", "q", "t")
-    one = pairs.join(targets, "alignment_id").where((F.col("t") >= 0) & (F.col("t") < F.length("sequence")))
-    cell = one.groupBy("alignment_id", "q").agg(F.max("t").alias("t"), F.first("sequence").alias("sequence"))
-    cell = cell.select("alignment_id", "q", F.expr("substr(sequence, t + 1, 1)").alias("c"))
+    rows = segments.join(targets.select("alignment_id", F.length("sequence").alias("_n")), "alignment_id")
+    # the part of a block inside both sequences, before it becomes residues
+    skip = F.greatest(F.lit(0), -F.col("q_start"), -F.col("s_start"))
+    stop = F.least(F.col("length"), query_length - F.col("q_start"), F.col("_n") - F.col("s_start"))
+    inside = {"q_start": F.col("q_start") + F.col("_skip"), "s_start": F.col("s_start") + F.col("_skip"), "length": F.col("_stop") - F.col("_skip")}
+    rows = rows.withColumns({"_skip": skip, "_stop": stop}).where("_stop > _skip").withColumns(inside)
+    # dealt by alignment once; both sums below then stay where the rows are
+    pairs = residue_pairs(spread(rows.select("alignment_id", "q_start", "s_start", "length"), "alignment_id"))
+    cells = pairs.groupBy("alignment_id", "q").agg(F.max("t").alias("t"))
+    filled = cells.groupBy("alignment_id").agg(F.array_sort(F.collect_list(F.struct("q", "t"))).alias("m")).join(targets, "alignment_id")
     # filled columns in order, each behind the gap before it: linear in the columns
-    filled = cell.groupBy("alignment_id").agg(F.array_sort(F.collect_list(F.struct("q", "c"))).alias("m"))
     before = "if(i = 0, -1, m[i - 1].q)"
-    text = F.expr(f"array_join(transform(m, (x, i) -> concat(repeat('.', x.q - {before} - 1), x.c)), '')")
+    text = F.expr(f"array_join(transform(m, (x, i) -> concat(repeat('.', x.q - {before} - 1), substr(sequence, x.t + 1, 1))), '')")
     return filled.select("alignment_id", F.rpad(text, query_length, ".").alias("pileup"))
 
 
