@@ -81,50 +81,72 @@ def _text(codes: np.ndarray) -> str:
     return "".join(CODES[c] if c < len(CODES) else chr(c) for c in codes.tolist())
 
 
-def _frame(spark: SparkSession, raw: bytes, schema: str) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = {f.split()[0]: f.split()[1] for f in schema.split(", ")}
-    table = pd.read_csv(io.BytesIO(raw), sep="\t", dtype={n: str for n in names if kinds[n] == "string"}, keep_default_na=True)
-    for n in names:
+def _fields(schema: str) -> dict[str, str]:
+    return dict(f.split() for f in schema.split(", "))
+
+
+def _rows(raw: bytes, schema: str) -> list[tuple]:
+    kinds = _fields(schema)
+    table = pd.read_csv(io.BytesIO(raw), sep="\t", dtype={n: str for n, k in kinds.items() if k == "string"})
+    for n in kinds:
         if n not in table:
             table[n] = None
-    rows = table[names].astype(object).where(table[names].notna(), None)
     make = {"int": int, "long": int, "double": float, "string": str}
-    data = [tuple(None if v is None else make[kinds[n]](v) for n, v in zip(names, row)) for row in rows.itertuples(index=False)]
-    return spark.createDataFrame(data, schema)
+    rows = table[list(kinds)].astype(object).where(table[list(kinds)].notna(), None)
+    return [tuple(None if v is None else make[k](v) for k, v in zip(kinds.values(), row)) for row in rows.itertuples(index=False)]
+
+
+def members(raw) -> dict[str, bytes]:
+    """The members of a pack by their base names."""
+    with tarfile.open(fileobj=raw, mode="r:gz") as tar:
+        return {PurePosixPath(m.name).name: tar.extractfile(m).read() for m in tar if m.isfile()}
+
+
+def _structures(held: dict[str, bytes]) -> list[tuple]:
+    with np.load(io.BytesIO(held[ARRAYS])) as arrays:
+        if missing := {"coords", "seq", "dssp"} - set(arrays.files):
+            raise KeyError(f"pack arrays without {missing}")
+        coords, seq, dssp = (arrays[k] for k in ("coords", "seq", "dssp"))
+    out = []
+    for _, target, length, start, end, *_ in _rows(held["colab_pack_index.tsv"], SCHEMAS["colab_pack_index"]):
+        out.append((target, length, _text(seq[start:end]), _text(dssp[start:end]).replace("L", "-"), coords[start:end].astype(float).ravel().tolist()))
+    return out
+
+
+def _whole(held: dict[str, bytes]) -> dict[str, bytes]:
+    missing = ({f"{n}.tsv" for n in SCHEMAS} | {ARRAYS, QUERY}) - set(held)
+    if missing:
+        raise FileNotFoundError(f"pack without {', '.join(sorted(missing))}")
+    return held
 
 
 def load(spark: SparkSession, path: str | Path) -> tuple[dict[str, DataFrame], str]:
     """The tables of a pack, `structures` among them with one row a target, and the query's coordinate text.
 
-    A pack is one archive and is read on the driver; everything after it is distributed.
+    A single pack is read on the driver; everything after it is distributed. load_many reads any number on the executors.
     """
-    tables, query, arrays = {}, None, None
-    with tarfile.open(path, "r:gz") as tar:
-        for member in tar:
-            name = PurePosixPath(member.name).name
-            body = tar.extractfile(member) if member.isfile() else None
-            if body is None:
-                continue
-            if name == ARRAYS:
-                with np.load(io.BytesIO(body.read())) as held:
-                    if missing := {"coords", "seq", "dssp"} - set(held.files):
-                        raise KeyError(f"pack arrays without {missing}")
-                    arrays = {k: held[k] for k in held.files}
-            elif name == QUERY:
-                query = body.read().decode()
-            elif name.removesuffix(".tsv") in SCHEMAS | OPTIONAL:
-                key = name.removesuffix(".tsv")
-                tables[key] = _frame(spark, body.read(), (SCHEMAS | OPTIONAL)[key])
-    missing = [*(set(SCHEMAS) - set(tables)), *([ARRAYS] if arrays is None else []), *([QUERY] if not query else [])]
-    if missing:
-        raise FileNotFoundError(f"pack without {', '.join(sorted(missing))}")
-    rows = []
-    for r in tables["colab_pack_index"].collect():
-        at = slice(r["start_idx"], r["end_idx"])
-        rows.append((r["dali_id"], r["length"], _text(arrays["seq"][at]), _text(arrays["dssp"][at]).replace("L", "-"), arrays["coords"][at].astype(float).ravel().tolist()))
-    tables["structures"] = spark.createDataFrame(rows, STRUCTURES)
-    return tables, query
+    with open(path, "rb") as raw:
+        held = _whole(members(raw))
+    known = SCHEMAS | OPTIONAL
+    tables = {n: spark.createDataFrame(_rows(held[f"{n}.tsv"], s), s) for n, s in known.items() if f"{n}.tsv" in held}
+    tables["structures"] = spark.createDataFrame(_structures(held), STRUCTURES)
+    return tables, held[QUERY].decode()
+
+
+def load_many(spark: SparkSession, paths: str, table: str) -> DataFrame:
+    """(pack, ...): one table of every pack under a path or pattern that Spark can list, each pack read by a task of its own."""
+    schema = STRUCTURES if table == "structures" else (SCHEMAS | OPTIONAL)[table]
+    names = ["pack", *_fields(schema)]
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                held = _whole(members(io.BytesIO(content)))
+                rows = _structures(held) if table == "structures" else _rows(held[f"{table}.tsv"], schema) if f"{table}.tsv" in held else []
+                yield pd.DataFrame([(path, *r) for r in rows], columns=names).astype(object)
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(run, f"pack string, {schema}")
 
 
 def save(path: str | Path, tables: dict[str, pd.DataFrame], arrays: dict[str, np.ndarray], query: str) -> Path:

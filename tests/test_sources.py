@@ -44,9 +44,18 @@ def test_pack_to_view(spark, archive):
     assert p.domain_ranges("dom_0-5_FOLD") == [(0, 5)]
     assert p.add_custom_subset("z_score >= 10 & pfam == 'PF00001'", "good", "dom_0-5") and p.views["good"].count() == 1
     assert not p.add_custom_subset("", "none") and not p.add_custom_subset("z_score + 1", "none") and not p.add_custom_subset("nothing > 1", "none")
+    assert row.pfam_domains[0].id == "PF00001" and row.clan_domains[0].id == "CL0001" and p.structure("1abcA")["length"] == 5
     assert p.next_name("dom_0-5", "x") == "dom_0-5_x_0"
 
 
+def test_many_packs(spark, archive):
+    rows = pack.load_many(spark, str(archive.parent), "segments").collect()
+    assert [(r.alignment_id, r.q_start, r.length) for r in rows] == [(1, 1, 5)] and rows[0].pack.endswith("toy.tar.gz")
+    (one,) = pack.load_many(spark, str(archive), "structures").collect()
+    assert one.seq == "AAAAA" and len(one.xyz) == 15
+    assert pack.load_many(spark, str(archive), "mini_ligand").count() == 0
+
+
 def test_broken_packs_are_refused(spark, archive, tmp_path):
     bad = tmp_path / "bad.tar.gz"
     bad.write_bytes(archive.read_bytes()[:-20])
