@@ -18,12 +18,23 @@ import regex
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 400_000
+MEMO = 800_000
 #: Fixed value: the vocabulary's own split pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*")
 
 
+def _plain_words() -> re.Pattern:
+    """The split pattern for lower-cased plain texts, its letters and numbers spelled out: twice as fast."""
+    seen = sorted({d for c in map(chr, range(0x2028)) if PLAIN.fullmatch(c) for d in c.lower()})
+    letters = re.escape("".join(c for c in seen if regex.fullmatch(r"\p{L}", c)))
+    numbers = re.escape("".join(c for c in seen if regex.fullmatch(r"\p{N}", c)))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+
+
+PLAIN_WORDS = _plain_words()
+
+
 class WordIds:
     """Text -> ids as little-endian unsigned 32-bit bytes."""
 
@@ -42,8 +53,6 @@ class WordIds:
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             raise ValueError("a word has no single end in this vocabulary")
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
         raw, a = ids.tobytes(), 0
         for word, b in zip(words, (stops * 4).tolist()):
             self.memo[word] = raw[a:b]
@@ -51,23 +60,27 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        hard = []
+        hard, late = [], []
+        known = self.memo.__getitem__
         for i, text in enumerate(texts):
             if not PLAIN.fullmatch(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
                 hard.append(i)
                 continue
-            words = WORDS.findall(text.lower())
-            memo = self.memo
+            words = PLAIN_WORDS.findall(text.lower())
             try:
-                out[i] = b"".join([memo[w] for w in words])
+                out[i] = b"".join(map(known, words))
             except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in memo]
-                known = {}
-                if len(memo) + len(new) > MEMO:
-                    known = {w: memo[w] for w in set(words) if w in memo}
-                self.learn(new)
-                memo |= known
-                out[i] = b"".join([memo[w] for w in words])
+                late.append((i, words))
+        if late:
+            # the new words of all these texts at once
+            all_words = dict.fromkeys(w for _, words in late for w in words)
+            new = [w for w in all_words if w not in self.memo]
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+                new = list(all_words)
+            self.learn(new)
+            for i, words in late:
+                out[i] = b"".join(map(known, words))
         if hard:
             for i, e in zip(hard, self.whole.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)):
                 out[i] = np.array(e.ids, np.uint32).tobytes()
