@@ -70,8 +70,12 @@ def identity(segments: DataFrame, query: str, targets: DataFrame) -> DataFrame:
 def query_to_target(segments: DataFrame, query_length: int) -> DataFrame:
     """Per alignment the target residue of every query position, -1 where unaligned."""
     pairs = residue_pairs(segments).where((F.col("q") >= 0) & (F.col("q") < query_length))
-    maps = pairs.groupBy("alignment_id").agg(F.map_from_entries(F.collect_set(F.struct("q", "t"))).alias("m"))
-    return maps.select("alignment_id", F.transform(F.sequence(F.lit(0), F.lit(query_length - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(-1))).alias("q2t"))
+    cells = pairs.groupBy("alignment_id", "q").agg(F.max("t").alias("t"))
+    filled = cells.groupBy("alignment_id").agg(F.array_sort(F.collect_list(F.struct("q", "t"))).alias("m"))
+    gap = "array_repeat(-1, x.q - if(i = 0, -1, m[i - 1].q) - 1)"
+    known = F.expr(f"flatten(transform(m, (x, i) -> concat({gap}, array(x.t))))")
+    tail = F.expr(f"array_repeat(-1, {query_length} - 1 - element_at(m, -1).q)")
+    return filled.select("alignment_id", F.concat(known, tail).alias("q2t"))
 
 
 def spans(segments: DataFrame) -> DataFrame:

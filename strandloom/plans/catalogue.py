@@ -502,6 +502,66 @@ def purity_nmi(hit):
     return cluster.agreement(hit, "pfam", "clan").select(r6("purity"), r6("nmi"), r6("homogeneity"), r6("completeness"))
 
 
+@query("hit", sql=RANKS.format(label="clan") + " SELECT CASE WHEN k <= 3 THEN hit.clan ELSE 'Other' END AS clean, count(*) AS n FROM hit JOIN rk ON hit.clan = rk.clan GROUP BY 1")
+def hierarchy_labels(hit):
+    ranked = selection.first_appearance_rank(hit, "clan", "z_score", "rid", "clan_rank")
+    return annotate.hierarchy_labels(ranked, "clan", "clan_rank", 3, "clean").groupBy("clean").agg(F.count("*").alias("n"))
+
+
+@query("hit", sql="SELECT target_id, arg_max(pfam, (z_score, pfam)) AS pfam, round(max(z_score), 6) AS z_score FROM hit GROUP BY target_id")
+def best_by_score(hit):
+    return annotate.best_by_score(hit, "target_id", "pfam", "z_score").select("target_id", "pfam", r6("z_score"))
+
+
+@query("hit", sql="SELECT pfam, count(*) AS n FROM hit WHERE pfam IN (SELECT pfam FROM (SELECT pfam, row_number() OVER (ORDER BY count(*) DESC, pfam) AS k FROM hit GROUP BY pfam) WHERE k <= 5) GROUP BY pfam")
+def most_frequent_families(hit):
+    return selection.most_frequent_families(hit, "pfam", 5).groupBy("pfam").agg(F.count("*").alias("n"))
+
+
+@query("hit", sql="WITH k AS (SELECT *, row_number() OVER (PARTITION BY pfam ORDER BY z_score DESC, rid, l_partkey, l_suppkey) AS rank FROM hit) SELECT pfam, rid, l_partkey, l_suppkey, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3")
+def best_of_each_family(hit):
+    keyed = hit.withColumn("tie", F.struct("rid", "l_partkey", "l_suppkey"))
+    return annotate.ranked_within(keyed, "pfam", "z_score", "tie", 3).select("pfam", "rid", "l_partkey", "l_suppkey", "rank")
+
+
+@query("hit", sql="SELECT pfam, count(*) AS frequency FROM hit GROUP BY pfam")
+def by_frequency(hit):
+    return selection.by_frequency(hit.select("pfam"), "pfam").distinct()
+
+
+@query("aln", "seg", sql=f"""WITH {CLIP}, pr AS (SELECT DISTINCT alignment_id, q_start + i AS q FROM (SELECT *, unnest(range(length)) AS i FROM clip) WHERE q_start + i < 260)
+SELECT alignment_id, 260 - count(*) AS unaligned FROM pr GROUP BY 1""")
+def query_to_target(aln, seg):
+    maps = intervals.query_to_target(intervals.clip(seg, REGION), 260)
+    return maps.select("alignment_id", F.size(F.filter("q2t", lambda t: t < 0)).cast("long").alias("unaligned"))
+
+
+@query("aln", "seg", sql=f"""WITH {CLIP}, pr AS (SELECT alignment_id, q_start + i AS q, s_start + i AS t FROM (SELECT *, unnest(range(length)) AS i FROM clip))
+SELECT alignment_id, count(*) AS pairs, CAST(sum((q % 26 = (t * 3) % 26)::INT) AS BIGINT) AS matches, round(sum((q % 26 = (t * 3) % 26)::INT) / count(*)::DOUBLE, 6) AS sequence_identity FROM pr GROUP BY 1""")
+def sequence_identity(aln, seg):
+    query_text = "".join(chr(65 + i % 26) for i in range(QUERY_LENGTH))
+    target = "".join(chr(65 + (3 * i) % 26) for i in range(QUERY_LENGTH))
+    out = intervals.identity(intervals.clip(seg, REGION), query_text, aln.select("alignment_id", F.lit(target).alias("sequence")))
+    return out.select("alignment_id", F.col("pairs").cast("long").alias("pairs"), F.col("matches").cast("long").alias("matches"), r6("sequence_identity"))
+
+
+@query("vec", sql=f"WITH {PILE} SELECT vec_id, substr(lpad('', 3, ' ') || pile || '   ', 60, 7) AS around FROM p")
+def sequence_context(vec):
+    return piles(vec).select("vec_id", pileup.context(F.col("pile"), 60, 3).alias("around"))
+
+
+@query("hit", sql="SELECT pfam, round(avg((clan = 'PROMO')::INT), 6) AS penetrance, count(*) AS n FROM hit GROUP BY pfam")
+def penetrance(hit):
+    return pileup.penetrance(hit, "pfam", "clan", "PROMO").select("pfam", r6("penetrance"), "n")
+
+
+@query("item", sql=f"WITH {NGRAMS}, c AS (SELECT ngram, (1 + ln(count(*) FILTER (WHERE module = 'Brand#2'))) * (ln(((SELECT count(*) FROM s) + 1) / (count(*) + 1)::DOUBLE) + 1) AS score FROM g GROUP BY 1 HAVING count(*) FILTER (WHERE module = 'Brand#2') > 0), sp AS (SELECT id, len(w) AS size, n, i, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s, (SELECT unnest([1, 2]) AS n) WHERE len(w) >= n)), h AS (SELECT id, size, unnest(range(i, i + n)) AS pos, score FROM sp JOIN c USING (ngram)), b AS (SELECT id, size, pos, max(score) AS score FROM h GROUP BY ALL) SELECT id, round(sum(score) / any_value(size), 6) AS score FROM b GROUP BY id")
+def description_scores(item):
+    rows = item.select("id", "module", F.split("text", " ").alias("w"))
+    scores = text_mining.tf_idf(rows, "id", "w", F.col("module") == "Brand#2", 1, 2)
+    return text_mining.description_scores(rows, "id", "w", scores, 1, 2).select("id", r6("score"))
+
+
 # No SQL form: tested against brute force.
 
 
@@ -565,3 +625,51 @@ def module_cohesion(vec):
     members = vec.select(F.col("label").alias("module"), F.col("vec_id").alias("target_id"))
     out = structal.cohesion(members, structal.structures(points(vec)), 200)
     return out.select("module", r6("within"), r6("between"), r6("separation"))
+
+
+@query("vec")
+def domain_partition(vec):
+    from strandloom.operators import domains, structal
+
+    return domains.partitioned(structal.structures(points(vec)))
+
+
+@query("vec")
+def label_propagation(vec):
+    return cluster.propagated(fingerprint.symmetrised(top_neighbours(vec)), 3)
+
+
+@query("vec")
+def greedy_coverage(vec):
+    chosen = fingerprint.representatives(fingerprint.voxels(points(vec), CELL), 3)
+    return vec.sparkSession.createDataFrame([(i, c) for i, c in enumerate(chosen)], "round int, target_id long")
+
+
+@query("vec")
+def seriation(vec):
+    from strandloom.operators.sequential import seriated
+
+    return seriated(piles(vec), "vec_id", "pile")
+
+
+@query("vec")
+def structal_coverage(vec):
+    from strandloom.operators import structal
+
+    return structal.coverage(structal.alignments(neighbour_pairs(vec), structal.structures(points(vec))))
+
+
+@query("item")
+def representative_descriptions(item):
+    rows = item.select("id", "module", F.split("text", " ").alias("w"))
+    scores = text_mining.tf_idf(rows, "id", "w", F.col("module") == "Brand#2", 1, 2)
+    chosen = text_mining.representatives(rows.where("module = 'Brand#2'"), "id", "w", scores, 3, low=1, high=2)
+    return item.sparkSession.createDataFrame([(i, c) for i, c in enumerate(chosen)], "round int, id long")
+
+
+@query("hit")
+def distribution_test(hit):
+    from strandloom.operators import reports
+
+    ranked = selection.first_appearance_rank(hit, "pfam", "z_score", "rid", "pfam_rank")
+    return reports.distribution_test(ranked, {"pfam": "pfam_rank"}, ["z_score", "query_coverage"], k=3)
