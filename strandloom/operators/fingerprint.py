@@ -9,6 +9,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.functions.lineage import cut
 from strandloom.functions.partitioning import spread
 
 #: A cell is packed as three 17-bit fields offset by 2^16.
@@ -158,12 +159,12 @@ def representatives(cells: DataFrame, k: int) -> list:
     Each round is one aggregate; the driver sees one row of it.
     """
     weights = census(cells).select("cell", "weight")
-    left = cells.select("target_id", "cell").distinct().join(weights, "cell").cache()
+    left = cells.select("target_id", "cell").distinct().join(weights, "cell")
     chosen = []
     for _ in range(k):
         best = left.groupBy("target_id").agg(F.sum("weight").alias("gain")).orderBy(F.desc("gain"), "target_id").first()
         if best is None:
             break
         chosen.append(best["target_id"])
-        left = left.join(left.where(F.col("target_id") == best["target_id"]).select("cell"), "cell", "left_anti")
+        left = cut(left.join(left.where(F.col("target_id") == best["target_id"]).select("cell"), "cell", "left_anti"))
     return chosen
