@@ -12,7 +12,8 @@ statistics. Distances are ranked by counting them in bins, so no group is ever s
 and each sum is taken partially before the shuffle. The same statements make up ORACLE.
 
 Defined cases: null text is empty; a text without words fails the base rules; null lang or source
-is a group of its own; repeated rows are judged each; extra columns are ignored by `judged` and
+is a group of its own; repeated rows are judged each; rows with null doc_id are judged each and
+stay in `passing` if any of them is kept; extra columns are ignored by `judged` and
 kept by `passing`; an empty table gives an empty table.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import written
+from .storage import narrow, written
 
 SHARE = 0.75
 #: Consistency of the covariance of that share of a normal cloud in four dimensions.
@@ -88,14 +89,14 @@ JOIN (SELECT lang, count(*) AS n FROM {{vectors}} WHERE NOT base_failed GROUP BY
 MEMBERS = """
 SELECT v.doc_id, v.y1, v.y2, v.y3, v.y4, g.grp FROM {vectors} v JOIN {groups} g ON v.lang = g.lang AND v.source = g.source WHERE NOT v.base_failed"""
 
+#: How many rows of each group fall into each bin of each statistic.
+STATISTIC_BINS = "SELECT grp, k, bin, count(*) AS c FROM (" + " UNION ALL ".join(f"SELECT grp, {i} AS k, CAST(floor(y{i} * {BINS}) AS BIGINT) AS bin FROM {{members}}" for i in DIMS) + ") u GROUP BY grp, k, bin"
+
 MEDIANS = f"""
 SELECT grp, {", ".join(f"max(CASE WHEN k = {i} THEN m END) AS m{i}" for i in DIMS)},
   {", ".join(f"CAST({FLOORS[i - 1] ** 2 if i == j else 0.0} AS DOUBLE) AS s{i}{j}" for i, j in PAIRS)}
 FROM (SELECT grp, k, min(CASE WHEN 2 * upto >= n THEN (bin + 0.5) / {BINS}.0 END) AS m FROM (
-  SELECT grp, k, bin, sum(c) OVER (PARTITION BY grp, k ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY grp, k) AS n FROM (
-    SELECT grp, k, bin, count(*) AS c FROM (
-      {" UNION ALL ".join(f"SELECT grp, {i} AS k, CAST(floor(y{i} * {BINS}) AS BIGINT) AS bin FROM {{members}}" for i in DIMS)}) u
-    GROUP BY grp, k, bin) v) w GROUP BY grp, k) x GROUP BY grp"""
+  SELECT grp, k, bin, sum(c) OVER (PARTITION BY grp, k ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY grp, k) AS n FROM {{bins}}) w GROUP BY grp, k) x GROUP BY grp"""
 
 ROOTS = """
 SELECT *, sqrt(s11) AS l11, s12 / l11 AS l21, s13 / l11 AS l31, s14 / l11 AS l41,
@@ -110,10 +111,12 @@ SELECT v.*, (v.y1 - r.m1) / r.l11 AS z1, (v.y2 - r.m2 - r.l21 * z1) / r.l22 AS z
   round(z1 * z1 + z2 * z2 + z3 * z3 + z4 * z4, 6) AS d2
 FROM {rows} v JOIN {roots} r ON v.grp = r.grp"""
 
+#: How many rows of each group lie in each bin of the distance.
+DISTANCE_BINS = f"SELECT grp, CAST(floor({BINS} * ln(1 + d2)) AS BIGINT) AS bin, count(*) AS c FROM {{distances}} GROUP BY 1, 2"
+
 NEAREST = f"""
 SELECT grp, min(CASE WHEN upto >= {SHARE} * n THEN bin END) AS far FROM (
-  SELECT grp, bin, sum(c) OVER (PARTITION BY grp ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY grp) AS n FROM (
-    SELECT grp, CAST(floor({BINS} * ln(1 + d2)) AS BIGINT) AS bin, count(*) AS c FROM {{distances}} GROUP BY 1, 2) u) v
+  SELECT grp, bin, sum(c) OVER (PARTITION BY grp ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY grp) AS n FROM {{bins}}) v
 GROUP BY grp"""
 
 ESTIMATES = f"""
@@ -132,15 +135,18 @@ def _judged(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     stats = written(statistics(docs), "quality-stats")
     vectors = spark.sql(VECTORS, stats=stats)
-    groups = written(spark.sql(GROUPS, vectors=vectors), "quality-groups")
+    groups = written(narrow(spark.sql(GROUPS, vectors=vectors)), "quality-groups")
     members = spark.sql(MEMBERS, vectors=vectors, groups=groups)
-    estimates = spark.sql(MEDIANS, members=members)
+    # counts become tables of their own: a window then reads a few hundred bins a group, whatever the rows
+    bins = written(narrow(spark.sql(STATISTIC_BINS, members=members)), "quality-bins")
+    estimates = spark.sql(MEDIANS, bins=bins)
     for _ in range(STEPS):
-        roots = written(spark.sql(ROOTS, estimates=estimates), "quality-roots")
+        roots = written(narrow(spark.sql(ROOTS, estimates=estimates)), "quality-roots")
         distances = spark.sql(DISTANCES, rows=members, roots=roots)
-        nearest = written(spark.sql(NEAREST, distances=distances), "quality-nearest")
+        bins = written(narrow(spark.sql(DISTANCE_BINS, distances=distances)), "quality-bins")
+        nearest = written(narrow(spark.sql(NEAREST, bins=bins)), "quality-nearest")
         estimates = spark.sql(ESTIMATES, distances=distances, nearest=nearest)
-    roots = written(spark.sql(ROOTS, estimates=estimates), "quality-roots")
+    roots = written(narrow(spark.sql(ROOTS, estimates=estimates)), "quality-roots")
     rows = vectors.where("NOT base_failed").join(groups, ["lang", "source"])
     good = spark.sql(DISTANCES, rows=rows, roots=roots)
     failed = vectors.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
@@ -154,7 +160,8 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept; doc_id must be unique."""
-    return docs.join(judged(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    kept = judged(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def _oracle() -> str:
@@ -173,12 +180,14 @@ FROM raw LEFT JOIN cov ON raw.doc_id = cov.doc_id""",
         "vectors": VECTORS.format(stats="stats"),
         "groups": GROUPS.format(vectors="vectors"),
         "members": MEMBERS.format(vectors="vectors", groups="groups"),
-        "est0": MEDIANS.format(members="members"),
+        "bins_": STATISTIC_BINS.format(members="members"),
+        "est0": MEDIANS.format(bins="bins_"),
     }
     for k in range(STEPS):
         steps[f"roots{k}"] = ROOTS.format(estimates=f"est{k}")
         steps[f"dist{k}"] = DISTANCES.format(rows="members", roots=f"roots{k}")
-        steps[f"near{k}"] = NEAREST.format(distances=f"dist{k}")
+        steps[f"bins{k}"] = DISTANCE_BINS.format(distances=f"dist{k}")
+        steps[f"near{k}"] = NEAREST.format(bins=f"bins{k}")
         steps[f"est{k + 1}"] = ESTIMATES.format(distances=f"dist{k}", nearest=f"near{k}")
     steps["roots_"] = ROOTS.format(estimates=f"est{STEPS}")
     steps["rows_"] = "SELECT vectors.*, groups.grp FROM vectors JOIN groups ON vectors.lang = groups.lang AND vectors.source = groups.source WHERE NOT base_failed"
