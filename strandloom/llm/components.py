@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import discard, gathered_if_small, written
+from .storage import discard, gathered_if_small, narrow, written
 
 ROUNDS = 60
 
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     Self-links and repeated links are fine; nodes without links do not appear; an empty table gives an empty one.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = written(edges, "links")
+    edges = written(narrow(edges), "links")
     mark = _mark(edges)
     for _ in range(ROUNDS):
         if not mark[0]:

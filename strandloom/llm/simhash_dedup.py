@@ -7,7 +7,9 @@ spanning forest of what it found, never all pairs of a group.
 
 Defined cases: words are what ASCII white space separates, ASCII letters lower-cased; a text of
 fewer words than a shingle is one shingle; null, empty and blank texts have fingerprint zero and
-link like any other; extra columns are ignored by `fingerprints` and kept by `deduplicated`.
+link like any other; repeated rows share a component; rows with null doc_id link too, and a
+component without any doc_id has a null id (ids are below 2^62); extra columns are ignored by
+`fingerprints` and kept by `deduplicated`, where rows without doc_id stay or go together.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import anchors
 from .buckets import dealt
 from .components import components
-from .storage import written
+from .storage import NAMELESS, nameless, narrow, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -145,18 +147,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     if sum(t + 1 for *_, t in layout) <= distance:
         raise ValueError("the blocks' thresholds leave links out")
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
-    copies = reps.select("fp", "rep").mapInArrow(_replicated(layout), "anchor long, fp long, rep long, home boolean")
+    reps = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nameless("fp")).alias("rep"))
+    copies = narrow(reps.select("fp", "rep")).mapInArrow(_replicated(layout), "anchor long, fp long, rep long, home boolean")
     # an anchor with one fingerprint links nothing
     crowded = dealt(written(copies, "anchor-copies"), "anchor", "fp", bucket)
     links = crowded.select("anchor", "pair", "fp", "rep", "home", "part").mapInArrow(_compared(distance), "a long, b long")
     named = components(links)
     labels = reps.join(named, reps["rep"] == named["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # a table of its own, so that the join below may split a fingerprint that very many documents share
+    labels = written(narrow(labels), "fingerprint-labels")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return rows.join(labels, "fp").select("doc_id", shown, "component_id")
+    known = F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id")
+    return rows.join(labels, "fp").select("doc_id", shown, known)
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id."""
-    firsts = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id")
-    return docs.join(firsts, "doc_id", "left_semi")
+    firsts = near_duplicates(docs, **settings).where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_first"]), "left_semi")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Ids are below this; what has none gets a number from here on, from a hash of what it holds.
+NAMELESS = 1 << 62
 
 
 #: Folders that this process has written and not deleted.
@@ -21,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def nameless(content: str) -> Column:
+    """A stand-in id above all ids for rows that have none."""
+    return F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64(content), 3)
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """df in an eighth of the shuffle partitions, for sums far smaller than what they sum: fewer, larger files."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
