@@ -12,7 +12,8 @@ without listing pairs; a bucket emits one count a vector and a spanning forest.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components link
 with nothing; vectors of different lengths never link; below `least_dim` dimensions all vectors
-share one bucket; exact copies are compared once and all count as links of each other.
+share one bucket; rows with null vec_id link too, a component of such rows alone has a null id (ids are
+below 2^62); exact copies are compared once and all count as links of each other.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .buckets import dealt
 from .components import components
-from .storage import written
+from .storage import NAMELESS, nameless, written
 
 COSINE = 0.9
 LOAD = 48
@@ -190,7 +191,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket: int = BU
     usable &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable &= F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False))
-    reps = written(rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-reps")
+    rep = F.coalesce(F.min("vec_id"), nameless("embedding")).alias("rep")
+    reps = written(rows.where(usable).groupBy("embedding").agg(rep, F.count("*").alias("copies")), "vector-reps")
     n = reps.count()
     kind = vectors.schema["embedding"].dataType.simpleString()
     copies = reps.select("rep", "copies", "embedding").mapInArrow(_replicated(n), f"filter long, rep long, copies long, v {kind}, passed array<int>")
@@ -201,6 +203,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket: int = BU
     named = components(found.where("b is not null").select("a", "b"))
     labels = reps.join(counts, "rep", "left").join(named, reps["rep"] == named["node"], "left")
     labels = labels.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    labels = labels.withColumn("c", F.when(F.col("c") < NAMELESS, F.col("c")))
     good = rows.where(usable).join(labels, "embedding").select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     bad = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

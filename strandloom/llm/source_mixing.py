@@ -10,7 +10,7 @@ Only DataFrame and SQL functions run. Texts are read once; raking works on the t
 partial sums and equi-joins. The same statements make up ORACLE.
 
 Defined cases: null text has no tokens; null lang or source is a category of its own; a cell
-without tokens has weight 0 and is not drawn; repeated rows share a draw; extra columns are
+without tokens has weight 0 and is not drawn; repeated rows, and rows with null doc_id, share a draw; extra columns are
 ignored by `weighted` and kept by `mixed`; an empty table gives an empty table.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import written
+from .storage import narrow, written
 
 #: Without given targets each marginal's shares are raised to this power: large categories give way.
 TEMPER = 0.9
@@ -80,8 +80,8 @@ def weighted(docs: DataFrame, topic: str = TOPIC, temper: float = TEMPER, target
     """
     spark = docs.sparkSession
     rows = written(_rows(docs.select("doc_id", "text", "lang", "source"), topic), "mix-rows")
-    cells = written(spark.sql(CELLS, rows=rows), "mix-cells")
-    target = {by: (targets or {}).get(by) or written(spark.sql(TEMPERED.format(by=by, temper=temper), cells=cells), f"mix-{by}") for by in MARGINALS}
+    cells = written(narrow(spark.sql(CELLS, rows=rows)), "mix-cells")
+    target = {by: (targets or {}).get(by) or written(narrow(spark.sql(TEMPERED.format(by=by, temper=temper), cells=cells)), f"mix-{by}") for by in MARGINALS}
     n = cells.count()
     raked = spark.sql(START, cells=cells)
     if n <= few_cells:
@@ -102,7 +102,8 @@ def weighted(docs: DataFrame, topic: str = TOPIC, temper: float = TEMPER, target
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs that are drawn; doc_id must be unique."""
-    return docs.join(weighted(docs, **settings).where("selected").select("doc_id"), "doc_id", "left_semi")
+    drawn = weighted(docs, **settings).where("selected").select(F.col("doc_id").alias("_drawn"))
+    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_drawn"]), "left_semi")
 
 
 def _oracle() -> str:
