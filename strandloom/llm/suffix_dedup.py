@@ -16,8 +16,9 @@ counted by Spark with partial aggregation instead.
 
 Digits are compared by 64-bit hashes inside groups that agree on all earlier digits.
 Defined cases: null text counts as empty; a text shorter than `width` bytes has no window and
-stays as it is; doc_id must be unique and not null; extra columns, nulls in them included, pass
-through `deduplicated` untouched; an empty table gives an empty table.
+stays as it is; repeated rows are copies of each other; rows with one doc_id and different texts are
+not supported; a null doc_id stands for its text's hash; extra columns, nulls in them included,
+pass through `deduplicated` untouched; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -204,7 +205,8 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, ho
     shared = written(runs.join(twice, "gram"), "suffix-shared")
     discard(runs)
     discard(twice)
-    spans = shared.groupBy("gram", "span").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "off")).alias("rep"))
+    # a table of its own too: the last join may then split a run that very many documents share
+    spans = written(shared.groupBy("gram", "span").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "off")).alias("rep")), "suffix-spans")
     per_gram = spans.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     mixed = written(spans.join(per_gram, "gram"), "suffix-mixed")
     asks = mixed.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("gram", "c", "k", "rep.start", "rep.n", "rep.off")).alias("asks"))
@@ -275,8 +277,10 @@ def _texts(batches):
 
 
 def _with_stretches(docs: DataFrame, width: int, hot_runs: int) -> DataFrame:
-    found = repeated_stretches(docs, width, hot_runs=hot_runs).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    return docs.join(found, "doc_id", "left")
+    docs = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
+    found = repeated_stretches(docs.select(F.col("_key").alias("doc_id"), "text"), width, hot_runs=hot_runs)
+    found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    return docs.join(found, "_key", "left").drop("_key")
 
 
 def digests(docs: DataFrame, width: int = WIDTH, hot_runs: int = HOT) -> DataFrame:
