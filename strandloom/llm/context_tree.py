@@ -7,9 +7,11 @@ estimate; the weighted probability of its data is the even mixture of the estima
 product over its children, and the code length of a byte mixes the estimates of all depths on its
 path by the posterior weights that follow.
 
-The model keeps the `nodes` contexts that are seen most often, a parent always before its
-children: the bound of what is sent to the workers. The data of contexts that were not kept stay
-in their parents, as one more child of the mixture.
+Every context is kept. The tree is cut at depth `CUT`: subtrees below are weighed apart (`solved`), each
+of bounded size, and `crown` weighs what is above from their sums, at most 4096 contexts by 255
+decisions whatever the corpus. `Tree` is the pruned model of the contexts that are seen most often, a
+parent always before its children; the data of contexts it does not hold stay in their parents, as
+one more child of the mixture.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import math
 import numpy as np
 
 DEPTH = 5
-NODES = 1 << 16
+#: Subtrees hang from contexts of so many classes; the contexts above them fit one dense table.
+CUT = 3
 BITS = 6
 END = 0xFF
 SLICE = 1 << 21
@@ -97,6 +100,116 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
 
 
+def turned(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Context keys with the latest class in the highest bits, so that a prefix is a shift."""
+    out = np.zeros_like(keys)
+    for d in range(depth):
+        out |= (keys >> BITS * d & (1 << BITS) - 1) << BITS * (depth - 1 - d)
+    return out
+
+
+def _levels(keys: np.ndarray, counts: np.ndarray, depth: int):
+    """Per depth from the deepest to CUT: distinct (context, byte) keys in order, counts, and their places one depth up."""
+    by = np.argsort(keys, kind="stable")
+    out = [(keys[by], counts[by].astype(np.float64))]
+    up = []
+    for _ in range(depth - CUT):
+        k, c = out[-1]
+        above, where = np.unique(k >> BITS + 8 << 8 | k & 255, return_inverse=True)
+        out.append((above, np.bincount(where, c, len(above))))
+        up.append(where)
+    return out, up
+
+
+def _decisions(rows, up, level: int):
+    """Per depth, deepest first: (context, decision) keys, zeros, ones, ln of own estimate, of the product below and weighted."""
+    out, places, below = [], None, None
+    for i, (k, c) in enumerate(rows):
+        z = k >> 8 << 8 | 1 << level | (k & 255) >> 8 - level
+        first = np.flatnonzero(np.concatenate(([True], z[1:] != z[:-1])))
+        here = np.zeros(len(z), np.int64)
+        here[first[1:]] = 1
+        here = np.cumsum(here)
+        one = k >> 7 - level & 1 == 1
+        b = np.bincount(here[one], c[one], len(first)).astype(np.float64)
+        a = np.bincount(here[~one], c[~one], len(first)).astype(np.float64)
+        own = _estimate(a, b)
+        if i:
+            below = np.bincount(here[up[i - 1][places]], out[-1][5], len(first))
+            weighted = np.logaddexp(own, below) - math.log(2)
+        else:
+            below, weighted = own, own
+        places = first
+        out.append((z[first], a, b, own, below, weighted))
+    return out
+
+
+def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(context of CUT classes, decision) keys, zeros, ones and ln of the weighted probability, from whole subtrees of turned context << 8 | byte."""
+    rows, up = _levels(keys, counts, depth)
+    parts = [_decisions(rows, up, level)[-1] for level in range(8)]
+    return tuple(np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 5))
+
+
+def crown(keys: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(end, mixed, rest) by context of CUT - 1 classes and decision, from sums over the subtrees below each.
+
+    end is the probability of a one where no deeper context was seen; mixed and rest enter the subtrees.
+    """
+    held = []
+    for d in range(CUT - 1, -1, -1):
+        shape = (1 << BITS * d, 256)
+        if d == CUT - 1:
+            n_a, n_b, below = (np.bincount(keys, x, shape[0] * 256).astype(np.float64).reshape(shape) for x in (a, b, w))
+        else:
+            n_a, n_b, below = (x.reshape(shape[0], -1, 256).sum(1) for x in (n_a, n_b, weighted))
+        own = _estimate(n_a.ravel(), n_b.ravel()).reshape(shape)
+        weighted = np.logaddexp(own, below) - math.log(2)
+        weighted[n_a + n_b == 0] = 0
+        stop = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+        held.append(((n_a + n_b).any(1), (n_b + 0.5) / (n_a + n_b + 1), stop))
+    end = mixed = rest = None
+    for d, (seen, kt, stop) in enumerate(reversed(held)):
+        if d:
+            end, mixed, rest = (np.repeat(x, 1 << BITS, axis=0) for x in (end, mixed, rest))
+            seen = seen[:, None]
+            end = np.where(seen, mixed + rest * kt, end)
+            mixed, rest = mixed + rest * stop * kt, rest * (1 - stop)
+        else:
+            end, mixed, rest = kt, stop * kt, 1 - stop
+    return end, mixed, rest
+
+
+def solved(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, depth: int, model: tuple[np.ndarray, ...]) -> np.ndarray:
+    """log10 of the probability of each asked turned context << 8 | byte, from the whole subtrees they fall into."""
+    end, mixed, rest = model
+    contexts_at = [asked >> 8 + BITS * i for i in range(depth - CUT + 1)]
+    total = np.zeros(len(asked))
+    rows, up = _levels(keys, counts, depth)
+    there = []
+    for (k, _), c in zip(rows, contexts_at):
+        known = np.unique(k >> 8)
+        at = np.minimum(np.searchsorted(known, c), max(len(known) - 1, 0))
+        there.append(known[at] == c if len(known) else np.zeros(len(c), bool))
+    top = contexts_at[-1] >> BITS
+    for level in range(8):
+        z = 1 << level | (asked & 255) >> 8 - level
+        m, r, p = mixed[top, z], rest[top, z], end[top, z]
+        nodes = _decisions(rows, up, level) if len(keys) else []
+        for i in range(len(nodes) - 1, -1, -1):
+            known, a, b, own, below, _ = nodes[i]
+            want = contexts_at[i] << 8 | z
+            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+            met = known[at] == want
+            kt = np.where(met, ((b + 0.5) / (a + b + 1))[at], 0.5)
+            stop = np.where(met, (1 / (1 + np.exp(np.clip(below - own, -700, 700))))[at], 0.5)
+            p = np.where(there[i], m + r * kt, p)
+            m, r = m + r * stop * kt, r * (1 - stop)
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        total += np.log10(np.where(asked >> 7 - level & 1 == 1, p, 1 - p))
+    return total
+
+
 class Tree:
     """Nodes in the order given (parents first): depth and context of each, and rows (node, byte, count)."""
 

@@ -1,9 +1,11 @@
 """Language-model scores of documents: a context-tree model over bytes beside a unigram base.
 
 Both learn from the documents whose crc32(doc_id as text) leaves a remainder, and score all.
-Word and context counts are gathered from the whole corpus by partial sums and a shuffle. The
-workers get the context tree, bounded by its number of nodes, and the most frequent words, bounded
-by `frequent`; every other word of a document meets its count in a join.
+Word and context counts are gathered from the whole corpus by partial sums and a shuffle. Every
+context is kept: subtrees are weighed where their counts meet, and each chunk of documents asks
+there for the code lengths of its distinct contexts and bytes, which come back to its texts. The
+workers get the top of the tree, of fixed size, and the most frequent words, bounded by `frequent`;
+every other word of a document meets its count in a join.
 
 Defined cases: null or empty text is the closing token alone; a null doc_id is never held out;
 with nothing to learn from, every context is empty and every byte costs eight bits; repeated rows
@@ -21,13 +23,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .context_tree import BITS, DEPTH, NODES, Tree, coded, contexts, counted
-from .storage import written
+from .context_tree import BITS, CUT, DEPTH, Tree, coded, contexts, counted, crown, solved, subtrees, turned
+from .storage import discard, written
 
 HELD_OUT = 10
 FREQUENT = 1 << 17
 SLICE = 1 << 22
 WORDS_HELD = 400_000
+#: Coded bytes of a chunk: its distinct contexts are asked for once.
+CHUNK = 1 << 24
+#: Learned rows of a bucket of subtrees, about.
+SOLVED = 1 << 18
 
 
 def held_out(doc_id, parts: int = HELD_OUT) -> bool:
@@ -131,6 +137,188 @@ def _tree(grams: DataFrame, depth: int, nodes: int) -> Tree:
     return Tree(depths, keys, at, rows.column("byte").to_numpy(), rows.column("c").to_numpy())
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Integers as planes of bytes, which compress well where high bytes are alike."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _keys(column) -> list[np.ndarray]:
+    return [np.cumsum(_unpacked(k)) for k in column.to_pylist()]
+
+
+def _bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    """Whole subtrees of turned keys are dealt over buckets; the same as in _subtrees()."""
+    return ((keys >> 8 + BITS * (depth - CUT)) * 2654435761 % (1 << 32) >> 8) % buckets
+
+
+def _turned(grams: np.ndarray, depth: int) -> np.ndarray:
+    return turned(grams >> 8, depth) << 8 | grams & 255
+
+
+def _subtrees(grams: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Packed keys and counts of every bucket, and the sums of its subtrees by context of CUT - 1 classes and decision."""
+    turn = " | ".join(f"shiftleft(shiftright(gram, {8 + BITS * d}) & {(1 << BITS) - 1}, {8 + BITS * (depth - 1 - d)})" for d in range(depth))
+    rows = grams.select(F.expr(f"{turn} | (gram & 255)").alias("key"), "c")
+    rows = rows.select(F.expr(f"shiftright((shiftright(key, {8 + BITS * (depth - CUT)}) * 2654435761L) % 4294967296L, 8) % {buckets}").alias("bucket"), "key", "c")
+    n = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "key")
+    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("z", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("w", pa.float64())])
+
+    def solve(bucket, keys, counts):
+        z, *sums = subtrees(keys, counts, depth)
+        found, where = np.unique(z >> BITS + 8 << 8 | z & 255, return_inverse=True)
+        cols = [pa.array(found), *(pa.array(np.bincount(where, x, len(found))) for x in sums)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), f.type) for f in list(schema)[:3]] + cols, schema=schema)
+        one = [pa.array([x], f.type) for x, f in zip((bucket, _packed(np.diff(keys, prepend=0)), _packed(counts)), schema)]
+        yield pa.RecordBatch.from_arrays(one + [pa.nulls(1, f.type) for f in list(schema)[3:]], schema=schema)
+
+    def run(batches):
+        now, held = None, []
+        for rows in batches:
+            bucket, key, c = (rows.column(i).to_numpy() for i in range(3))
+            cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist()
+            for a, b in zip(cut[:-1], cut[1:]):
+                if a == b:
+                    continue
+                if held and bucket[a] != now:
+                    yield from solve(now, *map(np.concatenate, zip(*held)))
+                    held = []
+                now = int(bucket[a])
+                held.append((key[a:b], c[a:b]))
+        if held:
+            yield from solve(now, *map(np.concatenate, zip(*held)))
+
+    return written(rows.mapInArrow(run, "bucket long, keys binary, counts binary, z long, a double, b double, w double"), "lm-subtrees")
+
+
+def _by_all_contexts(docs: DataFrame, grams: DataFrame, words, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' scores under the whole tree, and their rare words."""
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams.count() // SOLVED)
+    trees = _subtrees(grams, depth, buckets)
+    sums = trees.where("z is not null").groupBy("z").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()
+    model = spark.sparkContext.broadcast(crown(*(sums.column(n).to_numpy() for n in ("z", "a", "b", "w"))))
+    schema = "row long, doc_id long, n_tokens long, known long, base double, rare array<struct<word: binary, tf: long>>, chunk long, text binary, bucket long, keys binary"
+    partial = written(docs.mapInArrow(_chunks(words, depth, buckets), schema), "lm-partial")
+    asked = partial.where("bucket is not null").select("bucket", "chunk", "keys")
+    texts = partial.where("bucket is null").select("chunk", "row", "doc_id", "n_tokens", "known", "base", "text")
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        learned = _keys(left.column("keys")) or [np.zeros(0, np.int64)]
+        counts = [_unpacked(c) for c in left.column("counts").to_pylist()] or [np.zeros(0, np.int64)]
+        keys = _keys(right.column("keys"))
+        logs = []
+        if keys:
+            want, where = np.unique(np.concatenate(keys), return_inverse=True)
+            log = solved(np.concatenate(learned), np.concatenate(counts), want, depth, model.value).astype(np.float32)[where]
+            logs = [x.tobytes() for x in np.split(log, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table([right.column("chunk").combine_chunks(), right.column("keys").combine_chunks(), pa.array(logs, pa.binary())], names=["chunk", "keys", "logs"])
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        gram = _turned(np.concatenate([np.zeros(0, np.int64), *_keys(right.column("keys"))]), depth)
+        log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist())])
+        by = np.argsort(gram)
+        gram, log = gram[by], log[by].astype(np.float64)
+        own = left.column("text").to_pylist()
+        score, at = [], 0
+        while at < len(own):
+            upto, size = at, 0
+            while upto < len(own) and (upto == at or size + len(own[upto]) <= SLICE):
+                size += len(own[upto])
+                upto += 1
+            value = np.concatenate([log[np.searchsorted(gram, k)] for k in _slices(b"".join(own[at:upto]), depth)])
+            sizes = np.array([len(t) for t in own[at:upto]])
+            score.append(np.add.reduceat(value, np.cumsum(sizes) - sizes))
+            at = upto
+        return left.select(["row", "doc_id", "n_tokens", "known", "base"]).append_column("score", pa.array(np.concatenate(score) if score else np.empty(0)))
+
+    trees = trees.where("bucket is not null").select("bucket", "keys", "counts")
+    answers = trees.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "chunk long, keys binary, logs binary")
+    scores = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, "row long, doc_id long, n_tokens long, known long, base double, score double")
+    return scores, partial.where("bucket is null").select("row", "rare")
+
+
+def _counted_words(own, frequent, end):
+    """n_tokens, known, base and rare words of one document."""
+    logs = [frequent.get(w) for w in own]
+    rare = Counter(w for w, v in zip(own, logs) if v is None)
+    some = [v for v in logs if v is not None]
+    return len(own) + 1, len(some) + (end[1] > 0), math.fsum(some) + end[0], [{"word": w, "tf": n} for w, n in rare.items()]
+
+
+def _chunks(model, depth: int, buckets: int):
+    schema = pa.schema(
+        [
+            ("row", pa.int64()),
+            ("doc_id", pa.int64()),
+            ("n_tokens", pa.int64()),
+            ("known", pa.int64()),
+            ("base", pa.float64()),
+            ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
+            ("chunk", pa.int64()),
+            ("text", pa.binary()),
+            ("bucket", pa.int64()),
+            ("keys", pa.binary()),
+        ]
+    )
+
+    def batch(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def run(batches):
+        words, values, end = model.value
+        frequent = dict(zip(words, values))
+        number = chunk = TaskContext.get().partitionId() << 40
+        held, size, waiting, found = [], 0, [], []
+
+        def texts():
+            cols = dict(zip(("row", "doc_id", "n_tokens", "known", "base", "rare", "text"), zip(*held)))
+            out = batch(**cols, chunk=[chunk] * len(held))
+            waiting.extend(t for *_, t in held)
+            found.extend(np.unique(k) for k in _slices(b"".join(waiting), depth))
+            held.clear()
+            waiting.clear()
+            return out
+
+        def asked():
+            keys = np.sort(_turned(np.unique(np.concatenate(found)), depth))
+            found.clear()
+            own = _bucket(keys, depth, buckets)
+            by = np.argsort(own, kind="stable")
+            keys, own = keys[by], own[by]
+            first = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+            parts = [_packed(np.diff(k, prepend=0)) for k in np.split(keys, first[1:])]
+            return batch(chunk=[chunk] * len(parts), bucket=own[first], keys=parts)
+
+        since = 0
+        for rows in batches:
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1)):
+                own = _words(text.as_py())
+                held.append((number, doc, *_counted_words(own, frequent, end), coded(own)))
+                number += 1
+                size += len(held[-1][-1])
+                since += len(held[-1][-1])
+                if since >= SLICE // 2:
+                    yield texts()
+                    since = 0
+                if size >= CHUNK:
+                    if held:
+                        yield texts()
+                    yield asked()
+                    chunk, size, since = chunk + 1, 0, 0
+        if held:
+            yield texts()
+        if found:
+            yield asked()
+
+    return run
+
+
 def _scored(model, depth: int):
     schema = pa.schema(
         [
@@ -161,10 +349,7 @@ def _scored(model, depth: int):
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = _words(text.as_py())
-                logs = [frequent.get(w) for w in own]
-                rare = Counter(w for w, v in zip(own, logs) if v is None)
-                some = [v for v in logs if v is not None]
-                rows.append((number, doc, len(own) + 1, len(some) + (end[1] > 0), math.fsum(some) + end[0], [{"word": w, "tf": n} for w, n in rare.items()]))
+                rows.append((number, doc, *_counted_words(own, frequent, end)))
                 number += 1
                 texts.append(coded(own))
                 size += len(texts[-1])
@@ -177,8 +362,11 @@ def _scored(model, depth: int):
     return run
 
 
-def scored(docs: DataFrame, parts: int = HELD_OUT, depth: int = DEPTH, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text)."""
+def scored(docs: DataFrame, parts: int = HELD_OUT, depth: int = DEPTH, nodes: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text).
+
+    With `nodes` the tree is pruned to so many contexts and sent to the workers whole.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counts = written(docs.mapInArrow(_gathered(depth, parts), "word binary, gram long, c long"), "lm-counts")
@@ -187,14 +375,20 @@ def scored(docs: DataFrame, parts: int = HELD_OUT, depth: int = DEPTH, nodes: in
     trained = counts.where("gram = -1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     v, n = v + (trained > 0), n + trained
+    discard(counts)
     whole = n + 0.1 * (v + 1)
     log = lambda c: math.log10((c + 0.1) / whole)
     top = vocabulary.where(F.col("c") >= least_count(vocabulary, "c", frequent)).toArrow()
     words = top.column("word").to_pylist()
-    model = spark.sparkContext.broadcast((_tree(grams, depth, nodes), words, [log(c) for c in top.column("c").to_pylist()], (log(trained), trained)))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word: binary, tf: long>>"
-    partial = written(docs.mapInArrow(_scored(model, depth), schema), "lm-partial")
-    rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(vocabulary, "word", "left")
+    base = words, [log(c) for c in top.column("c").to_pylist()], (log(trained), trained)
+    if nodes is None and depth >= CUT:
+        partial, rare = _by_all_contexts(docs, grams, spark.sparkContext.broadcast(base), depth)
+    else:
+        # contexts above the cut are few by themselves
+        model = spark.sparkContext.broadcast((_tree(grams, depth, nodes or 1 << 62), *base))
+        schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word: binary, tf: long>>"
+        partial = rare = written(docs.mapInArrow(_scored(model, depth), schema), "lm-partial")
+    rare = rare.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(vocabulary, "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 0.1) / F.lit(whole))).alias("rest"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("met"))
     out = partial.join(sums, "row", "left")

@@ -171,6 +171,34 @@ def test_context_tree_by_the_textbook(spark, depth, nodes):
         assert got[i] == pytest.approx(context_tree.plain_score(b, counts, depth), abs=1e-3)
 
 
+@pytest.mark.parametrize("depth", [3, 5])
+def test_every_context_is_kept(spark, monkeypatch, depth):
+    monkeypatch.setattr(lm_score, "CHUNK", 20)
+    monkeypatch.setattr(lm_score, "SOLVED", 8)
+    rows = list(enumerate(["abab abba", "the cat", "Ab\nab", None, "é é x", "cat the the", "unseen q"] * 2))
+    got = {r.doc_id: r.score for r in lm_score.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=depth).collect()}
+    coded = {i: context_tree.coded((t or "").encode().lower().split()) for i, t in rows}
+    counts = collections.defaultdict(lambda: [0] * 256)
+    for i, b in coded.items():
+        if not lm_score.held_out(i):
+            for j in range(len(b)):
+                past = [int(context_tree.CLASSES[q]) for q in b[max(0, j - depth) : j]][::-1] + [0] * depth
+                for d in range(depth + 1):
+                    counts[d, sum(past[k] << 6 * k for k in range(d))][b[j]] += 1
+    for i, b in coded.items():
+        assert got[i] == pytest.approx(context_tree.plain_score(b, dict(counts), depth), abs=1e-6)
+
+
+def test_more_contexts_than_a_table_of_65536(spark):
+    text = bytes(np.frombuffer(context_tree.LETTERS.encode(), np.uint8)[np.random.default_rng(3).integers(0, 26, 60_000)]).decode()
+    rows = [(i, text) for i in range(20) if not lm_score.held_out(i)][:4]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in lm_score.scored(frame).collect()}
+    pruned = {r.doc_id: r.score for r in lm_score.scored(frame, nodes=1 << 16).collect()}
+    # the default was the pruned model, which loses the deepest contexts here
+    assert all(whole[i] > 0.5 * pruned[i] for i, _ in rows)
+
+
 def test_nothing_to_learn(spark, nothing):
     assert lm_score.scored(nothing).count() == 0
     only = spark.createDataFrame([(10, "a b"), (11, None)], "doc_id long, text string").where("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")
