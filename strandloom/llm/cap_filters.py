@@ -5,7 +5,8 @@ space is cut into two blocks, each with a small random code, and every pair of b
 direction. A vector is list-decoded to all directions it exceeds the cap height with, by way of
 the block words that can still reach it. Vectors meet on filters and are verified by their cosine
 in double precision. The cap height and the code sizes follow from the number of vectors: a filter
-holds about `load` of them, and a vector passes about `passes` filters, whatever the size.
+holds about `load` of them. The higher the cap, the fewer of a vector's filters a neighbour shares, so
+a vector passes as many filters as it takes to share about `COMMON` with one just at the threshold.
 
 A pair that meets on several filters counts on the first of them only, so links are counted
 without listing pairs; a bucket emits one count a vector and a spanning forest.
@@ -31,7 +32,10 @@ from .storage import NAMELESS, nameless, written
 
 COSINE = 0.9
 LOAD = 48
+#: A vector passes so many filters at least.
 PASSES = 32
+#: Filters that two vectors at the threshold share on average.
+COMMON = 18
 MOST = 0.02
 LEAST_DIM = 16
 BUCKET = 4096
@@ -46,26 +50,39 @@ def cap_height(dim: int, share: float) -> float:
     return float(t[np.searchsorted(-above, -share * above[0])])
 
 
+def shared_part(dim: int, height: float, cosine: float) -> float:
+    """The part of a vector's filters that another at this cosine passes too."""
+    t = np.linspace(height, 1, 4001)[:-1]
+    density = (1 - t * t) ** ((dim - 3) / 2)
+    # beside the first vector, the direction's part along the second is uniform on a sphere of one dimension less
+    side = np.linspace(-1, 1, 20_001)
+    above = np.cumsum(np.maximum(1 - side * side, 0)[::-1] ** ((dim - 4) / 2))[::-1]
+    need = (height - cosine * t) / (math.sqrt(max(1 - cosine * cosine, 1e-12)) * np.sqrt(1 - t * t))
+    return float((density * np.interp(need, side, above / above[0], left=1, right=0)).sum() / density.sum())
+
+
 @lru_cache(8)
-def product_code(dim: int, n: int, seed: int = 1):
+def product_code(dim: int, n: int, cosine: float = COSINE, seed: int = 1):
     """Rotation, block codes and cap height for n vectors."""
     share = min(MOST, LOAD / max(n, 1))
-    size = math.ceil(math.sqrt(PASSES / share))
+    height = cap_height(dim, share)
+    passes = max(PASSES, COMMON / shared_part(dim, height, cosine))
+    size = math.ceil(math.sqrt(passes / share))
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
     blocks = []
     for width in (dim // 2, dim - dim // 2):
         words = rng.normal(size=(size, width))
         blocks.append(words / np.linalg.norm(words, axis=1, keepdims=True))
-    return rotation, blocks, cap_height(dim, share)
+    return rotation, blocks, height
 
 
-def list_decode(unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def list_decode(unit: np.ndarray, n: int, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all filters that the rows of unit vectors pass."""
     dim = unit.shape[1]
     if dim < LEAST_DIM:
         return np.arange(len(unit)), np.zeros(len(unit), np.int64)
-    rotation, (one, two), height = product_code(dim, n)
+    rotation, (one, two), height = product_code(dim, n, cosine)
     turned = unit @ rotation
     a, b = turned[:, : dim // 2] @ one.T, turned[:, dim // 2 :] @ two.T
     need = height * math.sqrt(2)
@@ -82,7 +99,7 @@ def dense(lists, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
 
 
-def _replicated(n: int):
+def _replicated(n: int, cosine: float):
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -93,7 +110,7 @@ def _replicated(n: int):
                     rows = np.flatnonzero(lengths == dim)
                     some = vectors.take(pa.array(rows))
                     unit = units(dense(some, dim))
-                    row, filters = list_decode(unit, n)
+                    row, filters = list_decode(unit, n, cosine)
                     lists = np.split(filters, np.searchsorted(row, np.arange(1, len(rows))))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -195,7 +212,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket: int = BU
     reps = written(rows.where(usable).groupBy("embedding").agg(rep, F.count("*").alias("copies")), "vector-reps")
     n = reps.count()
     kind = vectors.schema["embedding"].dataType.simpleString()
-    copies = reps.select("rep", "copies", "embedding").mapInArrow(_replicated(n), f"filter long, rep long, copies long, v {kind}, passed array<int>")
+    copies = reps.select("rep", "copies", "embedding").mapInArrow(_replicated(n, cosine), f"filter long, rep long, copies long, v {kind}, passed array<int>")
     crowded = dealt(written(copies, "vector-copies"), "filter", "rep", bucket)
     found = crowded.select("filter", "pair", "rep", "copies", "v", "passed", "part").mapInArrow(_verified(cosine), "a long, n long, b long")
     found = written(found, "vector-links")

@@ -147,6 +147,18 @@ def vectors(rng):
     return out + [out[3], out[3], (2 * np.array(out[5])).tolist()]
 
 
+@pytest.mark.parametrize("n", [10_000, 51_282, 1_000_000, 20_000_000])
+def test_cap_filters_find_threshold_pairs_at_every_size(n):
+    rng = np.random.default_rng(5)
+    x = cap_filters.units(rng.normal(size=(600, 64)))
+    g = rng.normal(size=(600, 64))
+    g = cap_filters.units(g - (g * x).sum(1, keepdims=True) * x)
+    one, two = (r << 40 | f for r, f in (cap_filters.list_decode(v, n) for v in (x, 0.9 * x + np.sqrt(0.19) * g)))
+    found = len(np.unique(np.intersect1d(one, two) >> 40)) / 600
+    print(n, found)
+    assert found >= 0.92
+
+
 @pytest.mark.parametrize("bucket", [cap_filters.BUCKET, 20])
 def test_cap_filters_against_all_pairs(spark, bucket):
     good = vectors(np.random.default_rng(0))
