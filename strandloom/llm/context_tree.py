@@ -2,16 +2,17 @@
 
 A text is coded as the bytes of its lower-cased words, one space apart, and a closing byte. A byte
 is eight binary decisions; decision z (1..255, the bits so far behind a leading one) has a context
-tree of its own over the classes of the preceding bytes. Every node s keeps a Krichevsky-Trofimov
-estimate; the weighted probability of its data is the even mixture of the estimate at s and the
-product over its children, and the code length of a byte mixes the estimates of all depths on its
-path by the posterior weights that follow.
-
-Every context is kept. The tree is cut at depth `CUT`: subtrees below are weighed apart (`solved`), each
-of bounded size, and `crown` weighs what is above from their sums, at most 4096 contexts by 255
-decisions whatever the corpus. `Tree` is the pruned model of the contexts that are seen most often, a
-parent always before its children; the data of contexts it does not hold stay in their parents, as
-one more child of the mixture.
+tree of its own over the preceding bytes, up to `DEPTH` of them. Every node s keeps a
+Krichevsky-Trofimov estimate; the weighted probability of its data is the even mixture of the
+estimate at s and the product over its children, and the code length of a byte mixes the estimates
+of all depths on its path by the posterior weights that follow.
+
+Every context is kept. The tree is cut at depth `CUT`: the subtrees below are weighed apart (`subtrees`,
+`solved`), and `crown` weighs what is above from their sums: 256 contexts by 255 decisions at most,
+whatever the corpus.
+
+A key is one integer: the context, the latest byte in the highest place, and the byte that follows
+in the lowest, so that a shorter context is a shift.
 """
 
 from __future__ import annotations
@@ -21,67 +22,40 @@ import math
 import numpy as np
 
 DEPTH = 5
-#: Subtrees hang from contexts of so many classes; the contexts above them fit one dense table.
-CUT = 3
-BITS = 6
+#: Subtrees hang from contexts of so many bytes; the contexts above them fit one dense table.
+CUT = 2
+#: Bits of one byte of a context.
+BITS = 8
 END = 0xFF
-SLICE = 1 << 21
-#: Decisions weighed at a time, for the driver's memory.
-BLOCK = 8
-LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
-MARKS = ".,-'\":;!?()@/"
-
-
-def byte_classes() -> np.ndarray:
-    """Which of 64 context classes a byte belongs to: letters and common marks alone, the rest by kind."""
-    table = np.full(256, 42, np.uint8)
-    table[[0, END]] = 0
-    table[32] = 1
-    for i, c in enumerate(sorted(LETTERS)):
-        table[ord(c)] = 2 + i
-    table[48:58] = 28
-    for i, c in enumerate(MARKS):
-        table[ord(c)] = 29 + i
-    table[0x80:0xC0] = 43 + (np.arange(0x80, 0xC0) & 15)
-    table[0xC2:0xE0] = 60
-    table[0xC3] = 59
-    table[0xE0:0xF0] = 62
-    table[0xE2] = 61
-    table[0xF0:0xFF] = 63
-    return table
-
-
-CLASSES = byte_classes()
 
 
 def coded(words: list[bytes]) -> bytes:
     return b" ".join(words) + bytes([END])
 
 
-def contexts(data: np.ndarray, depth: int) -> np.ndarray:
-    """Per byte the classes of the `depth` bytes before it, the latest in the lowest bits.
+def grams(data: np.ndarray, depth: int) -> np.ndarray:
+    """The key of every byte of coded texts in a row.
 
-    Before the start of a text stands the class of the closing byte, so texts may stand in a row.
+    Bytes of a context are kept as their complement: the closing byte, and all that lies before it, is 0.
     """
-    classes = CLASSES[data].astype(np.int64)
-    out = np.zeros(len(data), np.int64)
+    past = (data ^ END).astype(np.int64)
+    out = data.astype(np.int64)
     for d in range(1, depth + 1):
-        out[d:] |= classes[:-d] << BITS * (d - 1)
+        out[d:] |= past[:-d] << BITS * (depth + 1 - d)
     # what lies beyond the last closing byte belongs to another text
     ends = np.flatnonzero(data == END)
-    since = np.full(len(data), depth, np.int64)
-    for d in range(depth - 1, 0, -1):
+    for d in range(1, depth):
         at = ends + d
-        since[at[at < len(data)]] = d
-    out &= (np.int64(1) << BITS * since) - 1
+        out[at[at < len(data)]] &= (-1 << BITS * (depth + 1 - d)) | 255
     return out
 
 
-def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    found, where = np.unique(keys, return_inverse=True)
-    return found, np.bincount(where, counts).astype(np.int64)
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -100,18 +74,9 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - math.log(math.pi)
 
 
-def turned(keys: np.ndarray, depth: int) -> np.ndarray:
-    """Context keys with the latest class in the highest bits, so that a prefix is a shift."""
-    out = np.zeros_like(keys)
-    for d in range(depth):
-        out |= (keys >> BITS * d & (1 << BITS) - 1) << BITS * (depth - 1 - d)
-    return out
-
-
 def _levels(keys: np.ndarray, counts: np.ndarray, depth: int):
     """Per depth from the deepest to CUT: distinct (context, byte) keys in order, counts, and their places one depth up."""
-    by = np.argsort(keys, kind="stable")
-    out = [(keys[by], counts[by].astype(np.float64))]
+    out = [(keys, counts.astype(np.float64))]
     up = []
     for _ in range(depth - CUT):
         k, c = out[-1]
@@ -145,14 +110,14 @@ def _decisions(rows, up, level: int):
 
 
 def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """(context of CUT classes, decision) keys, zeros, ones and ln of the weighted probability, from whole subtrees of turned context << 8 | byte."""
+    """(context of CUT bytes, decision) keys, zeros, ones and ln of the weighted probability, from whole subtrees of distinct keys in order."""
     rows, up = _levels(keys, counts, depth)
     parts = [_decisions(rows, up, level)[-1] for level in range(8)]
     return tuple(np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 5))
 
 
 def crown(keys: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(end, mixed, rest) by context of CUT - 1 classes and decision, from sums over the subtrees below each.
+    """(end, mixed, rest) by context of CUT - 1 bytes and decision, from sums over the subtrees below each.
 
     end is the probability of a one where no deeper context was seen; mixed and rest enter the subtrees.
     """
@@ -181,7 +146,7 @@ def crown(keys: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tupl
 
 
 def solved(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, depth: int, model: tuple[np.ndarray, ...]) -> np.ndarray:
-    """log10 of the probability of each asked turned context << 8 | byte, from the whole subtrees they fall into."""
+    """log10 of the probability of each asked key, in order, from the whole subtrees they fall into."""
     end, mixed, rest = model
     contexts_at = [asked >> 8 + BITS * i for i in range(depth - CUT + 1)]
     total = np.zeros(len(asked))
@@ -199,10 +164,13 @@ def solved(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, depth: int,
         for i in range(len(nodes) - 1, -1, -1):
             known, a, b, own, below, _ = nodes[i]
             want = contexts_at[i] << 8 | z
-            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
-            met = known[at] == want
-            kt = np.where(met, ((b + 0.5) / (a + b + 1))[at], 0.5)
-            stop = np.where(met, (1 / (1 + np.exp(np.clip(below - own, -700, 700))))[at], 0.5)
+            # questions that share a context and the bits so far stand together
+            first = np.flatnonzero(np.concatenate(([True], want[1:] != want[:-1])))
+            again = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(want))))
+            at = np.minimum(np.searchsorted(known, want[first]), len(known) - 1)
+            met = known[at] == want[first]
+            kt = np.where(met, ((b + 0.5) / (a + b + 1))[at], 0.5)[again]
+            stop = np.where(met, (1 / (1 + np.exp(np.clip(below - own, -700, 700))))[at], 0.5)[again]
             p = np.where(there[i], m + r * kt, p)
             m, r = m + r * stop * kt, r * (1 - stop)
         p = np.clip(p, 1e-12, 1 - 1e-12)
@@ -210,84 +178,8 @@ def solved(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray, depth: int,
     return total
 
 
-class Tree:
-    """Nodes in the order given (parents first): depth and context of each, and rows (node, byte, count)."""
-
-    def __init__(self, depths: np.ndarray, keys: np.ndarray, node: np.ndarray, byte: np.ndarray, count: np.ndarray):
-        n = len(depths)
-        number = {(int(d), int(k)): i for i, (d, k) in enumerate(zip(depths, keys))}
-        self.parent = np.array([number[d - 1, k & (1 << BITS * (d - 1)) - 1] if d else 0 for d, k in zip(depths.tolist(), keys.tolist())], np.int32)
-        self.depths = depths
-        self.child = np.full((n + 1, 1 << BITS), n, np.int32)
-        deep = np.flatnonzero(depths > 0)
-        self.child[self.parent[deep], keys[deep] >> BITS * (depths[deep] - 1)] = deep
-        self.logs = self._weigh(node.astype(np.int64), byte.astype(np.int64), count.astype(np.float64))
-
-    def _weigh(self, node: np.ndarray, byte: np.ndarray, count: np.ndarray) -> np.ndarray:
-        n, top = len(self.depths), int(self.depths.max())
-        logs = np.zeros((n, 256), np.float32)
-        by_depth = [np.flatnonzero(self.depths == d) for d in range(top + 1)]
-        inner = np.zeros(n, bool)
-        inner[self.parent[self.depths > 0]] = True
-        for level in range(8):
-            width = 256 >> level
-            for first in range(0, 1 << level, BLOCK):
-                z = slice(first, min(first + BLOCK, 1 << level))
-                here = (byte >= z.start * width) & (byte < z.stop * width)
-                half = (byte[here] - z.start * width) // (width // 2)
-                size = 2 * (z.stop - z.start)
-                block = np.bincount(node[here] * size + half, count[here], n * size).astype(np.float64).reshape(n, -1, 2)
-                a, b = block[:, :, 0], block[:, :, 1]
-                own = _estimate(a, b)
-                kt = (b + 0.5) / (a + b + 1)
-                below, kids_a, kids_b = np.zeros_like(own), np.zeros_like(a), np.zeros_like(b)
-                weighted = own.copy()
-                for d in range(top, -1, -1):
-                    at = by_depth[d]
-                    split = at[inner[at]]
-                    product = below[split] + _estimate(a[split] - kids_a[split], b[split] - kids_b[split])
-                    below[split] = product
-                    weighted[split] = np.logaddexp(own[split], product) - math.log(2)
-                    if d:
-                        up = self.parent[at]
-                        np.add.at(below, up, weighted[at])
-                        np.add.at(kids_a, up, a[at])
-                        np.add.at(kids_b, up, b[at])
-                # weight of stopping at an inner node against going on below it
-                stop = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-                mixed, rest = np.zeros_like(kt), np.ones_like(kt)
-                for d in range(1, top + 1):
-                    at = by_depth[d]
-                    up = self.parent[at]
-                    mixed[at] = mixed[up] + rest[up] * stop[up] * kt[up]
-                    rest[at] = rest[up] * (1 - stop[up])
-                one = np.clip(mixed + rest * kt, 1e-12, 1 - 1e-12)
-                two = np.stack([np.log10(1 - one), np.log10(one)], axis=2).astype(np.float32)
-                logs[:, z.start * width : z.stop * width] += np.repeat(two.reshape(n, -1), width // 2, axis=1)
-        return logs
-
-    def score(self, data: np.ndarray, depth: int) -> np.ndarray:
-        """log10 of the probability of every byte of whole texts in a row."""
-        parts = []
-        for a in range(0, len(data), SLICE):
-            before = min(a, depth + 1)
-            parts.append(self._score(data[a - before : a + SLICE], depth)[before:])
-        return np.concatenate(parts) if parts else np.empty(0, np.float32)
-
-    def _score(self, data: np.ndarray, depth: int) -> np.ndarray:
-        key = contexts(data, depth)
-        sink = len(self.depths)
-        cur = np.zeros(len(data), np.int32)
-        best = cur
-        mask = (1 << BITS) - 1
-        for d in range(depth):
-            cur = self.child[cur, (key >> BITS * d) & mask]
-            best = np.where(cur == sink, best, cur)
-        return self.logs[best, data]
-
-
 def plain_score(text: bytes, counts: dict, depth: int) -> float:
-    """One text by the textbook recursion on unpruned counts[(depth, context)] -> 256 counts: for tests."""
+    """One text by the textbook recursion on counts[context, latest byte first] -> 256 counts: for tests."""
     nodes = set(counts)
 
     def kt(a, b):
@@ -300,32 +192,24 @@ def plain_score(text: bytes, counts: dict, depth: int) -> float:
         c = counts[s]
         return sum(c[lo : lo + width // 2]), sum(c[lo + width // 2 : lo + width])
 
-    def kids(s):
-        return [t for t in nodes if t[0] == s[0] + 1 and t[1] & (1 << BITS * s[0]) - 1 == s[1]]
-
+    kids = {s: [t for t in nodes if len(t) == len(s) + 1 and t[:-1] == s] for s in nodes}
     memo = {}
 
     def weighted(s, z):
         if (s, z) not in memo:
-            own, ks = kt(*ab(s, z)), kids(s)
-            if not ks:
+            own = kt(*ab(s, z))
+            if not kids[s]:
                 memo[s, z] = own, None
             else:
-                a, b = ab(s, z)
-                prod = sum(weighted(k, z)[0] for k in ks) + kt(a - sum(ab(k, z)[0] for k in ks), b - sum(ab(k, z)[1] for k in ks))
+                prod = sum(weighted(k, z)[0] for k in kids[s])
                 hi = max(own, prod)
                 memo[s, z] = hi + math.log(0.5 * math.exp(own - hi) + 0.5 * math.exp(prod - hi)), own - prod
         return memo[s, z]
 
     total = 0.0
     for i, byte in enumerate(text):
-        past = [int(CLASSES[c]) for c in text[max(0, i - depth) : i]][::-1] + [0] * depth
-        path, key = [(0, 0)], 0
-        for d in range(depth):
-            key |= past[d] << BITS * d
-            if (d + 1, key) not in nodes:
-                break
-            path.append((d + 1, key))
+        past = (bytes([END]) * depth + text[:i])[::-1]
+        path = [past[:d] for d in range(depth + 1) if past[:d] in nodes]
         z = 1
         for level in range(7, -1, -1):
             bit = byte >> level & 1

@@ -1,15 +1,19 @@
 """Language-model scores of documents: a context-tree model over bytes beside a unigram base.
 
 Both learn from the documents whose crc32(doc_id as text) leaves a remainder, and score all.
-Word and context counts are gathered from the whole corpus by partial sums and a shuffle. Every
-context is kept: subtrees are weighed where their counts meet, and each chunk of documents asks
-there for the code lengths of its distinct contexts and bytes, which come back to its texts. The
-workers get the top of the tree, of fixed size, and the most frequent words, bounded by `frequent`;
-every other word of a document meets its count in a join.
+Every context of up to `depth` bytes is kept, so the model grows with the corpus and is nowhere
+held whole. Tasks count their keys (context and byte) and pass them on as packed, sorted runs; runs
+are first summed in `SPLIT` parts a bucket, so that a frequent context prefix loads no task, then each
+bucket weighs its subtrees. Each chunk of documents asks the buckets for the code lengths of its
+distinct keys, and the answers meet its texts. The workers get the top of the tree, of fixed size,
+and the most frequent words, bounded by `frequent`; every other word of a document meets its count
+in a join.
 
 Defined cases: null or empty text is the closing token alone; a null doc_id is never held out;
 with nothing to learn from, every context is empty and every byte costs eight bits; repeated rows
-are scored each.
+are scored each; words as frequent as the last of the `frequent` ones that fit are all joined instead;
+a very long text is a chunk of its own, read in slices of `SLICE` bytes; columns other than doc_id and
+text are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,21 +23,25 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .context_tree import BITS, CUT, DEPTH, Tree, coded, contexts, counted, crown, solved, subtrees, turned
+from .context_tree import BITS, CUT, DEPTH, coded, crown, grams, solved, subtrees, summed
 from .storage import discard, written
 
 HELD_OUT = 10
 FREQUENT = 1 << 17
 SLICE = 1 << 22
 WORDS_HELD = 400_000
-#: Coded bytes of a chunk: its distinct contexts are asked for once.
-CHUNK = 1 << 24
-#: Learned rows of a bucket of subtrees, about.
-SOLVED = 1 << 18
+#: Keys a task holds before it adds up what it has found.
+KEYS_HELD = 3_000_000
+#: Coded bytes of a chunk: its distinct keys are asked for once.
+CHUNK = 1 << 25
+#: Buckets of subtrees at least, and parts of a bucket that are summed apart.
+BUCKETS = 128
+SPLIT = 8
 
 
 def held_out(doc_id, parts: int = HELD_OUT) -> bool:
@@ -41,62 +49,14 @@ def held_out(doc_id, parts: int = HELD_OUT) -> bool:
 
 
 def _words(text) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    return text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
 
 
 def _slices(data: bytes, depth: int):
-    """Context keys with their byte, slice by slice."""
+    """Keys of coded texts, slice by slice."""
     for a in range(0, len(data), SLICE):
         before = min(a, depth + 1)
-        part = np.frombuffer(data, np.uint8, min(SLICE, len(data) - a) + before, a - before)
-        yield (contexts(part, depth) << 8 | part)[before:]
-
-
-def _gathered(depth: int, parts: int):
-    def batch(words=(), grams=(), counts=(), docs=None):
-        w, g, c = [x for x, _ in words], list(grams), [n for _, n in words] + list(counts)
-        if docs is not None:
-            g, c = g + [-1], c + [docs]
-        return pa.RecordBatch.from_arrays([pa.array(w + [None] * len(g), pa.binary()), pa.array([None] * len(w) + g, pa.int64()), pa.array(c, pa.int64())], names=["word", "gram", "c"])
-
-    def run(batches):
-        words, docs, held, size, found = Counter(), 0, [], 0, []
-
-        def count():
-            nonlocal held, size
-            for keys in _slices(b"".join(held), depth):
-                found.append(counted(keys))
-            held, size = [], 0
-            if sum(len(k) for k, _ in found) > 3_000_000:
-                merge()
-
-        def merge():
-            if found:
-                whole = counted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
-                found[:] = [whole]
-
-        for rows in batches:
-            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1)):
-                if held_out(doc, parts):
-                    continue
-                own = _words(text.as_py())
-                docs += 1
-                words.update(own)
-                held.append(coded(own))
-                size += len(held[-1])
-                if size >= SLICE:
-                    count()
-            if len(words) > WORDS_HELD:
-                yield batch(words.items())
-                words.clear()
-        count()
-        merge()
-        yield batch(words.items(), docs=docs)
-        for keys, counts in found:
-            for a in range(0, len(keys), 200_000):
-                yield batch(grams=keys[a : a + 200_000].tolist(), counts=counts[a : a + 200_000].tolist())
-
-    return run
+        yield grams(np.frombuffer(data, np.uint8, min(SLICE, len(data) - a) + before, a - before), depth)[before:]
 
 
 def least_count(rows: DataFrame, count: str, limit: int) -> int:
@@ -112,31 +72,6 @@ def least_count(rows: DataFrame, count: str, limit: int) -> int:
     return cut
 
 
-def _tree(grams: DataFrame, depth: int, nodes: int) -> Tree:
-    """The tree of the most frequent contexts of grams(gram, c)."""
-    at_depth = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")
-    spread = grams.select("gram", "c", at_depth).select(
-        "d", F.expr(f"shiftright(gram, 8) & (shiftleft(1L, {BITS} * d) - 1)").alias("ctx"), F.expr("cast(gram & 255 as int)").alias("byte"), "c"
-    )
-    bytes_of = spread.groupBy("d", "ctx", "byte").agg(F.sum("c").alias("c"))
-    seen = written(bytes_of.groupBy("d", "ctx").agg(F.sum("c").alias("n")), "contexts")
-    kept = seen.where((F.col("n") >= least_count(seen, "n", nodes)) | (F.col("d") == 0))
-    order = kept.toArrow()
-    if not order.num_rows:
-        none = np.zeros(0, np.int64)
-        return Tree(np.zeros(1, np.int64), np.zeros(1, np.int64), none, none, none)
-    rows = spread.join(F.broadcast(kept.select("d", "ctx")), ["d", "ctx"]).groupBy("d", "ctx", "byte").agg(F.sum("c").alias("c")).toArrow()
-    depths, keys = (order.column(n).to_numpy().astype(np.int64) for n in ("d", "ctx"))
-    first = np.lexsort((keys, depths))
-    depths, keys = depths[first], keys[first]
-    # contexts of up to five six-bit classes and their depth fit one integer
-    code = lambda d, k: k << 4 | d
-    known = code(depths, keys)
-    by = np.argsort(known)
-    at = by[np.searchsorted(known[by], code(rows.column("d").to_numpy().astype(np.int64), rows.column("ctx").to_numpy()))]
-    return Tree(depths, keys, at, rows.column("byte").to_numpy(), rows.column("c").to_numpy())
-
-
 def _packed(numbers: np.ndarray) -> bytes:
     """Integers as planes of bytes, which compress well where high bytes are alike."""
     return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -146,111 +81,136 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1)
 
 
+def _run(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=0))
+
+
 def _keys(column) -> list[np.ndarray]:
     return [np.cumsum(_unpacked(k)) for k in column.to_pylist()]
 
 
 def _bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
-    """Whole subtrees of turned keys are dealt over buckets; the same as in _subtrees()."""
+    """Whole subtrees are dealt over buckets."""
     return ((keys >> 8 + BITS * (depth - CUT)) * 2654435761 % (1 << 32) >> 8) % buckets
 
 
-def _turned(grams: np.ndarray, depth: int) -> np.ndarray:
-    return turned(grams >> 8, depth) << 8 | grams & 255
+def _part(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    """The part of its bucket where a key is summed; whole contexts stay together."""
+    return _bucket(keys, depth, buckets) * SPLIT + (((keys >> 8) % 0x7FFFFFFF) * 0x9E3779B1 % (1 << 32) >> 16) % SPLIT
 
 
-def _subtrees(grams: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """Packed keys and counts of every bucket, and the sums of its subtrees by context of CUT - 1 classes and decision."""
-    turn = " | ".join(f"shiftleft(shiftright(gram, {8 + BITS * d}) & {(1 << BITS) - 1}, {8 + BITS * (depth - 1 - d)})" for d in range(depth))
-    rows = grams.select(F.expr(f"{turn} | (gram & 255)").alias("key"), "c")
-    rows = rows.select(F.expr(f"shiftright((shiftright(key, {8 + BITS * (depth - CUT)}) * 2654435761L) % 4294967296L, 8) % {buckets}").alias("bucket"), "key", "c")
-    n = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "key")
-    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("z", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("w", pa.float64())])
+def _split(keys: np.ndarray, where: np.ndarray):
+    """The places of distinct `where` values, and the order that brings each value's keys together."""
+    by = np.argsort(where, kind="stable")
+    where = where[by]
+    first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else np.empty(0, np.int64)
+    return where[first], np.split(by, first[1:]) if len(first) else []
 
-    def solve(bucket, keys, counts):
-        z, *sums = subtrees(keys, counts, depth)
-        found, where = np.unique(z >> BITS + 8 << 8 | z & 255, return_inverse=True)
-        cols = [pa.array(found), *(pa.array(np.bincount(where, x, len(found))) for x in sums)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(found), f.type) for f in list(schema)[:3]] + cols, schema=schema)
-        one = [pa.array([x], f.type) for x, f in zip((bucket, _packed(np.diff(keys, prepend=0)), _packed(counts)), schema)]
-        yield pa.RecordBatch.from_arrays(one + [pa.nulls(1, f.type) for f in list(schema)[3:]], schema=schema)
 
+_COUNTS = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("docs", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _columns(schema, **columns):
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _gathered(depth: int, parts: int, buckets: int):
     def run(batches):
-        now, held = None, []
+        words, docs, held, size, found = Counter(), 0, [], 0, []
+
+        def merge():
+            found[:] = [summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
+
+        def count():
+            nonlocal held, size
+            found.extend(np.unique(keys, return_counts=True) for keys in _slices(b"".join(held), depth))
+            held, size = [], 0
+            if sum(len(k) for k, _ in found) > KEYS_HELD:
+                merge()
+                return len(found[0][0]) > KEYS_HELD
+            return False
+
+        def runs():
+            if not found:
+                return
+            merge()
+            keys, counts = found.pop()
+            name, places = _split(keys, _part(keys, depth, buckets))
+            for a in range(0, len(places), 256):
+                some = places[a : a + 256]
+                yield _columns(_COUNTS, part=name[a : a + 256], keys=[_run(keys[p]) for p in some], counts=[_packed(counts[p]) for p in some])
+
         for rows in batches:
-            bucket, key, c = (rows.column(i).to_numpy() for i in range(3))
-            cut = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist()
-            for a, b in zip(cut[:-1], cut[1:]):
-                if a == b:
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1)):
+                if held_out(doc, parts):
                     continue
-                if held and bucket[a] != now:
-                    yield from solve(now, *map(np.concatenate, zip(*held)))
-                    held = []
-                now = int(bucket[a])
-                held.append((key[a:b], c[a:b]))
+                own = _words(text)
+                docs += 1
+                words.update(own)
+                held.append(coded(own))
+                size += len(held[-1])
+                if size >= SLICE and count():
+                    yield from runs()
+            if len(words) > WORDS_HELD:
+                yield _columns(_COUNTS, word=list(words), c=list(words.values()))
+                words.clear()
         if held:
-            yield from solve(now, *map(np.concatenate, zip(*held)))
+            count()
+        yield _columns(_COUNTS, word=list(words), c=list(words.values()))
+        yield _columns(_COUNTS, docs=[docs])
+        yield from runs()
 
-    return written(rows.mapInArrow(run, "bucket long, keys binary, counts binary, z long, a double, b double, w double"), "lm-subtrees")
+    return run
 
 
-def _by_all_contexts(docs: DataFrame, grams: DataFrame, words, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The documents' scores under the whole tree, and their rare words."""
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams.count() // SOLVED)
-    trees = _subtrees(grams, depth, buckets)
-    sums = trees.where("z is not null").groupBy("z").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()
-    model = spark.sparkContext.broadcast(crown(*(sums.column(n).to_numpy() for n in ("z", "a", "b", "w"))))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, rare array<struct<word: binary, tf: long>>, chunk long, text binary, bucket long, keys binary"
-    partial = written(docs.mapInArrow(_chunks(words, depth, buckets), schema), "lm-partial")
-    asked = partial.where("bucket is not null").select("bucket", "chunk", "keys")
-    texts = partial.where("bucket is null").select("chunk", "row", "doc_id", "n_tokens", "known", "base", "text")
+def _by_group(solve):
+    """A pass over rows (group, keys, counts) sorted by group: solve(group, distinct keys in order, counts) for each."""
 
-    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        learned = _keys(left.column("keys")) or [np.zeros(0, np.int64)]
-        counts = [_unpacked(c) for c in left.column("counts").to_pylist()] or [np.zeros(0, np.int64)]
-        keys = _keys(right.column("keys"))
-        logs = []
-        if keys:
-            want, where = np.unique(np.concatenate(keys), return_inverse=True)
-            log = solved(np.concatenate(learned), np.concatenate(counts), want, depth, model.value).astype(np.float32)[where]
-            logs = [x.tobytes() for x in np.split(log, np.cumsum([len(k) for k in keys])[:-1])]
-        return pa.table([right.column("chunk").combine_chunks(), right.column("keys").combine_chunks(), pa.array(logs, pa.binary())], names=["chunk", "keys", "logs"])
+    def run(batches):
+        now, held, size = None, [], 0
+        for rows in batches:
+            for group, keys, counts in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2)):
+                if held and group != now:
+                    yield from solve(now, *summed(*map(np.concatenate, zip(*held))))
+                    held, size = [], 0
+                now = group
+                held.append((np.cumsum(_unpacked(keys.as_py())), _unpacked(counts.as_py())))
+                size += len(held[-1][0])
+                if size > 2 * KEYS_HELD and len(held) > 1:
+                    held = [summed(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+        if held:
+            yield from solve(now, *summed(*map(np.concatenate, zip(*held))))
 
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        gram = _turned(np.concatenate([np.zeros(0, np.int64), *_keys(right.column("keys"))]), depth)
-        log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist())])
-        by = np.argsort(gram)
-        gram, log = gram[by], log[by].astype(np.float64)
-        own = left.column("text").to_pylist()
-        score, at = [], 0
-        while at < len(own):
-            upto, size = at, 0
-            while upto < len(own) and (upto == at or size + len(own[upto]) <= SLICE):
-                size += len(own[upto])
-                upto += 1
-            value = np.concatenate([log[np.searchsorted(gram, k)] for k in _slices(b"".join(own[at:upto]), depth)])
-            sizes = np.array([len(t) for t in own[at:upto]])
-            score.append(np.add.reduceat(value, np.cumsum(sizes) - sizes))
-            at = upto
-        return left.select(["row", "doc_id", "n_tokens", "known", "base"]).append_column("score", pa.array(np.concatenate(score) if score else np.empty(0)))
+    return run
 
-    trees = trees.where("bucket is not null").select("bucket", "keys", "counts")
-    answers = trees.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "chunk long, keys binary, logs binary")
-    scores = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(summed, "row long, doc_id long, n_tokens long, known long, base double, score double")
-    return scores, partial.where("bucket is null").select("row", "rare")
 
+def _merged(counts: DataFrame) -> DataFrame:
+    """(bucket, keys, counts): the sums of all runs, `SPLIT` runs a bucket."""
 
-def _counted_words(own, frequent, end):
-    """n_tokens, known, base and rare words of one document."""
-    logs = [frequent.get(w) for w in own]
-    rare = Counter(w for w, v in zip(own, logs) if v is None)
-    some = [v for v in logs if v is not None]
-    return len(own) + 1, len(some) + (end[1] > 0), math.fsum(some) + end[0], [{"word": w, "tf": n} for w, n in rare.items()]
+    def solve(part, keys, counts):
+        yield pa.RecordBatch.from_arrays([pa.array([part // SPLIT]), pa.array([_run(keys)], pa.binary()), pa.array([_packed(counts)], pa.binary())], names=["bucket", "keys", "counts"])
 
+    rows = counts.where("part is not null").select("part", "keys", "counts")
+    return written(rows.repartition("part").sortWithinPartitions("part").mapInArrow(_by_group(solve), "bucket long, keys binary, counts binary"), "lm-keys")
 
-def _chunks(model, depth: int, buckets: int):
+
+def _crown(trees: DataFrame, depth: int):
+    """The weights above the cut, from sums of the subtrees by context of CUT - 1 bytes and decision."""
+
+    def solve(bucket, keys, counts):
+        z, *sums = subtrees(keys, counts, depth)
+        found, where = np.unique(z >> BITS + 8 << 8 | z & 255, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.bincount(where, x, len(found)).astype(float)) for x in sums)], names=["z", "a", "b", "w"])
+
+    rows = trees.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_group(solve), "z long, a double, b double, w double")
+    sums = rows.groupBy("z").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("w")).toArrow()
+    return crown(*(sums.column(n).to_numpy() for n in ("z", "a", "b", "w")))
+
+
+def _texts_and_questions(docs: DataFrame, words, depth: int, buckets: int) -> DataFrame:
+    """Rows of coded texts by chunk, and rows of the distinct keys of each chunk by bucket."""
     schema = pa.schema(
         [
             ("row", pa.int64()),
@@ -266,40 +226,40 @@ def _chunks(model, depth: int, buckets: int):
         ]
     )
 
-    def batch(**columns):
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
     def run(batches):
-        words, values, end = model.value
-        frequent = dict(zip(words, values))
+        known, values, (end, trained) = words.value
+        frequent = dict(zip(known, values))
         number = chunk = TaskContext.get().partitionId() << 40
-        held, size, waiting, found = [], 0, [], []
+        held, rare_words, rare_counts, rare_ends, size, since, found = [], [], [], [0], 0, 0, []
 
         def texts():
-            cols = dict(zip(("row", "doc_id", "n_tokens", "known", "base", "rare", "text"), zip(*held)))
-            out = batch(**cols, chunk=[chunk] * len(held))
-            waiting.extend(t for *_, t in held)
-            found.extend(np.unique(k) for k in _slices(b"".join(waiting), depth))
+            nonlocal rare_words, rare_counts, rare_ends
+            cols = dict(zip(("row", "doc_id", "n_tokens", "known", "base", "text"), zip(*held)))
+            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "tf"])
+            cols["rare"] = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare)
+            out = _columns(schema, **cols, chunk=[chunk] * len(held))
+            found.extend(np.unique(k) for k in _slices(b"".join(cols["text"]), depth))
             held.clear()
-            waiting.clear()
+            rare_words, rare_counts, rare_ends = [], [], [0]
             return out
 
         def asked():
-            keys = np.sort(_turned(np.unique(np.concatenate(found)), depth))
+            keys = np.unique(np.concatenate(found))
             found.clear()
-            own = _bucket(keys, depth, buckets)
-            by = np.argsort(own, kind="stable")
-            keys, own = keys[by], own[by]
-            first = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-            parts = [_packed(np.diff(k, prepend=0)) for k in np.split(keys, first[1:])]
-            return batch(chunk=[chunk] * len(parts), bucket=own[first], keys=parts)
-
-        since = 0
+            name, places = _split(keys, _bucket(keys, depth, buckets))
+            return _columns(schema, chunk=[chunk] * len(places), bucket=name, keys=[_run(keys[p]) for p in places])
+
         for rows in batches:
             for doc, text in zip(rows.column(0).to_pylist(), rows.column(1)):
-                own = _words(text.as_py())
-                held.append((number, doc, *_counted_words(own, frequent, end), coded(own)))
+                own = _words(text)
+                logs = list(map(frequent.get, own))
+                some = [v for v in logs if v is not None]
+                if len(some) < len(own):
+                    rare = Counter(w for w, v in zip(own, logs) if v is None)
+                    rare_words.extend(rare)
+                    rare_counts.extend(rare.values())
+                rare_ends.append(len(rare_words))
+                held.append((number, doc, len(own) + 1, len(some) + (trained > 0), math.fsum(some) + end, coded(own)))
                 number += 1
                 size += len(held[-1][-1])
                 since += len(held[-1][-1])
@@ -316,82 +276,72 @@ def _chunks(model, depth: int, buckets: int):
         if found:
             yield asked()
 
-    return run
+    names = "row long, doc_id long, n_tokens long, known long, base double, rare array<struct<word: binary, tf: long>>, chunk long, text binary, bucket long, keys binary"
+    return written(docs.mapInArrow(run, names), "lm-partial")
 
 
-def _scored(model, depth: int):
-    schema = pa.schema(
-        [
-            ("row", pa.int64()),
-            ("doc_id", pa.int64()),
-            ("n_tokens", pa.int64()),
-            ("known", pa.int64()),
-            ("base", pa.float64()),
-            ("score", pa.float64()),
-            ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
-        ]
-    )
+def _scores(partial: DataFrame, trees: DataFrame, model, depth: int) -> DataFrame:
+    asked = partial.where("bucket is not null").select("bucket", "chunk", "keys")
+    texts = partial.where("bucket is null").select("chunk", "row", "doc_id", "n_tokens", "known", "base", "text")
 
-    def run(batches):
-        tree, words, values, end = model.value
-        frequent = dict(zip(words, values))
-        number = TaskContext.get().partitionId() << 40
-
-        def flush(rows, texts):
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            sizes = np.array([len(t) for t in texts])
-            score = np.add.reduceat(tree.score(data, depth).astype(np.float64), np.cumsum(sizes) - sizes)
-            cols = list(zip(*rows))
-            cols.insert(5, score.tolist())
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-        rows, texts, size = [], [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = _words(text.as_py())
-                rows.append((number, doc, *_counted_words(own, frequent, end)))
-                number += 1
-                texts.append(coded(own))
-                size += len(texts[-1])
-                if size >= SLICE // 2:
-                    yield flush(rows, texts)
-                    rows, texts, size = [], [], 0
-        if rows:
-            yield flush(rows, texts)
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        logs, keys = [], _keys(right.column("keys"))
+        if keys:
+            none = np.zeros(0, np.int64)
+            learned = summed(np.concatenate([none, *_keys(left.column("keys"))]), np.concatenate([none, *map(_unpacked, left.column("counts").to_pylist())]))
+            want = np.unique(np.concatenate(keys))
+            log = solved(*learned, want, depth, model.value).astype(np.float32)
+            logs = [log[np.searchsorted(want, k)].tobytes() for k in keys]
+        return pa.table([right.column("chunk").combine_chunks(), right.column("keys").combine_chunks(), pa.array(logs, pa.binary())], names=["chunk", "keys", "logs"])
 
-    return run
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = np.concatenate([np.zeros(0, np.int64), *_keys(right.column("keys"))])
+        log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist())])
+        by = np.argsort(known)
+        known, log = known[by], log[by].astype(np.float64)
+        own = left.column("text")
+        sizes = np.array([len(t.as_buffer()) for t in own])
+        score, at = np.zeros(len(own)), 0
+        while at < len(own):
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, "right")) + at)
+            values = []
+            for keys in _slices(b"".join(own[i].as_py() for i in range(at, upto)), depth):
+                where, some = pd.factorize(keys)
+                values.append(log[np.searchsorted(known, some)][where])
+            ends = np.cumsum(sizes[at:upto])
+            score[at:upto] = np.add.reduceat(np.concatenate(values), ends - sizes[at:upto])
+            at = upto
+        return left.select(["row", "doc_id", "n_tokens", "known", "base"]).append_column("score", pa.array(score))
 
+    answers = trees.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "chunk long, keys binary, logs binary")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(met, "row long, doc_id long, n_tokens long, known long, base double, score double")
 
-def scored(docs: DataFrame, parts: int = HELD_OUT, depth: int = DEPTH, nodes: int | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text).
 
-    With `nodes` the tree is pruned to so many contexts and sent to the workers whole.
-    """
+def scored(docs: DataFrame, parts: int = HELD_OUT, depth: int = DEPTH, frequent: int = FREQUENT, buckets: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for docs(doc_id, text)."""
+    if depth < CUT or depth > 6:
+        raise ValueError(f"contexts have {CUT} to 6 bytes")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts = written(docs.mapInArrow(_gathered(depth, parts), "word binary, gram long, c long"), "lm-counts")
+    buckets = buckets or max(BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = written(docs.mapInArrow(_gathered(depth, parts, buckets), "word binary, c long, docs long, part long, keys binary, counts binary"), "lm-counts")
     vocabulary = written(counts.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-    grams = written(counts.where("gram >= 0").groupBy("gram").agg(F.sum("c").alias("c")), "lm-grams")
-    trained = counts.where("gram = -1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    trees = _merged(counts)
+    trained = counts.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    discard(counts)
     v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     v, n = v + (trained > 0), n + trained
-    discard(counts)
     whole = n + 0.1 * (v + 1)
     log = lambda c: math.log10((c + 0.1) / whole)
     top = vocabulary.where(F.col("c") >= least_count(vocabulary, "c", frequent)).toArrow()
-    words = top.column("word").to_pylist()
-    base = words, [log(c) for c in top.column("c").to_pylist()], (log(trained), trained)
-    if nodes is None and depth >= CUT:
-        partial, rare = _by_all_contexts(docs, grams, spark.sparkContext.broadcast(base), depth)
-    else:
-        # contexts above the cut are few by themselves
-        model = spark.sparkContext.broadcast((_tree(grams, depth, nodes or 1 << 62), *base))
-        schema = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word: binary, tf: long>>"
-        partial = rare = written(docs.mapInArrow(_scored(model, depth), schema), "lm-partial")
-    rare = rare.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(vocabulary, "word", "left")
+    words = top.column("word").to_pylist(), [log(c) for c in top.column("c").to_pylist()], (log(trained), trained)
+    model = spark.sparkContext.broadcast(_crown(trees, depth))
+    partial = _texts_and_questions(docs, spark.sparkContext.broadcast(words), depth, buckets)
+    scores = _scores(partial, trees, model, depth)
+    rare = partial.where("bucket is null").select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf").join(vocabulary, "word", "left")
     c = F.coalesce("c", F.lit(0))
     sums = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 0.1) / F.lit(whole))).alias("rest"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("met"))
-    out = partial.join(sums, "row", "left")
+    out = scores.join(sums, "row", "left")
     mark = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 0, F.lit(False))
     return out.select(
         "doc_id",

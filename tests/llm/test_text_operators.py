@@ -135,7 +135,7 @@ def test_token_counts_query(small, nothing):
 
 def test_unigram_base(small):
     rows, frame = small
-    got = {r.doc_id: r for r in lm_score.scored(frame, frequent=200, nodes=2000).collect()}
+    got = {r.doc_id: r for r in lm_score.scored(frame, frequent=200).collect()}
     words = {r[0]: (r[1] or "").encode().lower().split() for r in rows}
     train = [d for d in words if zlib.crc32(str(d).encode()) % 10]
     c = collections.Counter(w for d in train for w in words[d])
@@ -148,55 +148,51 @@ def test_unigram_base(small):
         assert r.score < 0
 
 
-@pytest.mark.parametrize("depth, nodes", [(2, 1 << 16), (3, 25)])
-def test_context_tree_by_the_textbook(spark, depth, nodes):
-    rows = list(enumerate(["abab abba", "the cat", "Ab\nab", None, "é é x", "cat the the"] * 2))
-    got = {r.doc_id: r.score for r in lm_score.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=depth, nodes=nodes).collect()}
-    coded = {i: context_tree.coded((t or "").encode().lower().split()) for i, t in rows}
-    c = collections.Counter()
-    for i, b in coded.items():
-        if not lm_score.held_out(i):
-            for j in range(len(b)):
-                past = [int(context_tree.CLASSES[q]) for q in b[max(0, j - depth) : j]][::-1] + [0] * depth
-                for d in range(depth + 1):
-                    c[d, sum(past[k] << 6 * k for k in range(d)), b[j]] += 1
-    total = collections.Counter()
-    for (d, k, _), n in c.items():
-        total[d, k] += n
-    # whole levels of counts, the highest first, as long as they fit
-    cut = min((n for n in total.values() if sum(m >= n for m in total.values()) <= nodes), default=math.inf)
-    kept = [q for q in total if total[q] >= cut or q[0] == 0]
-    counts = {q: [c[(*q, b)] for b in range(256)] for q in kept}
-    for i, b in coded.items():
-        assert got[i] == pytest.approx(context_tree.plain_score(b, counts, depth), abs=1e-3)
+TEXTS = ["abab abba", "the cat", "Ab\nab", None, "é é x", "cat the the", "unseen q", "日本 語日本", "жук жуки \x00 x"] * 2
 
 
-@pytest.mark.parametrize("depth", [3, 5])
-def test_every_context_is_kept(spark, monkeypatch, depth):
-    monkeypatch.setattr(lm_score, "CHUNK", 20)
-    monkeypatch.setattr(lm_score, "SOLVED", 8)
-    rows = list(enumerate(["abab abba", "the cat", "Ab\nab", None, "é é x", "cat the the", "unseen q"] * 2))
-    got = {r.doc_id: r.score for r in lm_score.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), depth=depth).collect()}
-    coded = {i: context_tree.coded((t or "").encode().lower().split()) for i, t in rows}
+def gathered(rows, depth):
     counts = collections.defaultdict(lambda: [0] * 256)
+    coded = {i: context_tree.coded((t or "").encode().lower().split()) for i, t in rows}
     for i, b in coded.items():
         if not lm_score.held_out(i):
             for j in range(len(b)):
-                past = [int(context_tree.CLASSES[q]) for q in b[max(0, j - depth) : j]][::-1] + [0] * depth
+                past = (b"\xff" * depth + b[:j])[::-1]
                 for d in range(depth + 1):
-                    counts[d, sum(past[k] << 6 * k for k in range(d))][b[j]] += 1
+                    counts[past[:d]][b[j]] += 1
+    return coded, dict(counts)
+
+
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_context_tree_by_the_textbook(spark, monkeypatch, depth):
+    for name, value in {"CHUNK": 20, "SLICE": 16, "KEYS_HELD": 30, "WORDS_HELD": 3}.items():
+        monkeypatch.setattr(lm_score, name, value)
+    rows = list(enumerate(TEXTS))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_score.scored(frame, depth=depth, buckets=7).collect()}
+    coded, counts = gathered(rows, depth)
     for i, b in coded.items():
-        assert got[i] == pytest.approx(context_tree.plain_score(b, dict(counts), depth), abs=1e-6)
+        assert got[i] == pytest.approx(context_tree.plain_score(b, counts, depth), abs=1e-5)
+
+
+def test_keys_stop_at_the_closing_byte():
+    data = np.frombuffer(b"ab\xffcd ef\xff\xffg\xff", np.uint8)
+    own = [np.frombuffer(t + b"\xff", np.uint8) for t in (b"ab", b"cd ef", b"", b"g")]
+    for depth in (2, 5, 6):
+        assert (context_tree.grams(data, depth) == np.concatenate([context_tree.grams(t, depth) for t in own])).all()
 
 
-def test_more_contexts_than_a_table_of_65536(spark):
-    text = bytes(np.frombuffer(context_tree.LETTERS.encode(), np.uint8)[np.random.default_rng(3).integers(0, 26, 60_000)]).decode()
-    rows = [(i, text) for i in range(20) if not lm_score.held_out(i)][:4]
+def test_longer_contexts_tell_more(spark):
+    """Letters that follow from five before: a model of shorter contexts cannot know them."""
+    rnd = random.Random(3)
+    follows = {}
+    text = list("abcde")
+    for _ in range(40_000):
+        text.append(follows.setdefault(tuple(text[-5:]), rnd.choice("abcdef")) if rnd.random() < 0.98 else rnd.choice("abcdef"))
+    rows = [(i, "".join(text[i * 2000 : i * 2000 + 2000])) for i in range(20)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {r.doc_id: r.score for r in lm_score.scored(frame).collect()}
-    pruned = {r.doc_id: r.score for r in lm_score.scored(frame, nodes=1 << 16).collect()}
-    # the default was the pruned model, which loses the deepest contexts here
-    assert all(whole[i] > 0.5 * pruned[i] for i, _ in rows)
+    deep, flat = ({r.doc_id: r.score for r in lm_score.scored(frame, depth=d).collect()} for d in (5, 2))
+    assert all(deep[i] > 0.8 * flat[i] for i, _ in rows)
 
 
 def test_nothing_to_learn(spark, nothing):
