@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .context_tree import BITS, CUT, DEPTH, coded, crown, grams, solved, subtrees, summed
+from .context_tree import BITS, CUT, DEPTH, coded, crown, distinct, grams, solved, subtrees, summed
 from .storage import discard, written
 
 HELD_OUT = 10
@@ -238,13 +238,13 @@ def _texts_and_questions(docs: DataFrame, words, depth: int, buckets: int) -> Da
             rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "tf"])
             cols["rare"] = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare)
             out = _columns(schema, **cols, chunk=[chunk] * len(held))
-            found.extend(np.unique(k) for k in _slices(b"".join(cols["text"]), depth))
+            found.extend(distinct(k) for k in _slices(b"".join(cols["text"]), depth))
             held.clear()
             rare_words, rare_counts, rare_ends = [], [], [0]
             return out
 
         def asked():
-            keys = np.unique(np.concatenate(found))
+            keys = distinct(np.concatenate(found))
             found.clear()
             name, places = _split(keys, _bucket(keys, depth, buckets))
             return _columns(schema, chunk=[chunk] * len(places), bucket=name, keys=[_run(keys[p]) for p in places])
@@ -289,7 +289,7 @@ def _scores(partial: DataFrame, trees: DataFrame, model, depth: int) -> DataFram
         if keys:
             none = np.zeros(0, np.int64)
             learned = summed(np.concatenate([none, *_keys(left.column("keys"))]), np.concatenate([none, *map(_unpacked, left.column("counts").to_pylist())]))
-            want = np.unique(np.concatenate(keys))
+            want = distinct(np.concatenate(keys))
             log = solved(*learned, want, depth, model.value).astype(np.float32)
             logs = [log[np.searchsorted(want, k)].tobytes() for k in keys]
         return pa.table([right.column("chunk").combine_chunks(), right.column("keys").combine_chunks(), pa.array(logs, pa.binary())], names=["chunk", "keys", "logs"])
@@ -298,16 +298,13 @@ def _scores(partial: DataFrame, trees: DataFrame, model, depth: int) -> DataFram
         known = np.concatenate([np.zeros(0, np.int64), *_keys(right.column("keys"))])
         log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist())])
         by = np.argsort(known)
-        known, log = known[by], log[by].astype(np.float64)
+        place, log = pd.Index(known[by]), log[by].astype(np.float64)
         own = left.column("text")
         sizes = np.array([len(t.as_buffer()) for t in own])
         score, at = np.zeros(len(own)), 0
         while at < len(own):
             upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, "right")) + at)
-            values = []
-            for keys in _slices(b"".join(own[i].as_py() for i in range(at, upto)), depth):
-                where, some = pd.factorize(keys)
-                values.append(log[np.searchsorted(known, some)][where])
+            values = [log[place.get_indexer(keys)] for keys in _slices(b"".join(own[i].as_py() for i in range(at, upto)), depth)]
             ends = np.cumsum(sizes[at:upto])
             score[at:upto] = np.add.reduceat(np.concatenate(values), ends - sizes[at:upto])
             at = upto
