@@ -4,9 +4,15 @@ A page becomes a chain of text blocks. Classifier costs are the capacities to th
 neighbours on the page and blocks of the same element are tied by smoothness edges, and the
 minimum cut is the labelling of least total cost: blocks on the source side are content.
 
+Names of elements only set costs, and only while the page keeps an article: a name whose element holds
+nearly all the prose, such as a wrapper called for its sidebar or a form around the page, is
+dropped (see page_blocks.settled). A page that holds nothing but remarks or bars gives an empty text.
+
 Defined cases: null or empty html gives an empty text of 0 characters; markup without text
-likewise; broken and unclosed markup is read as far as it goes; a null url stays null; repeated
-pages are extracted each.
+likewise; broken and unclosed markup is read as far as it goes, in time linear in its length; very long
+pages are read whole; of labellings of equal cost the one with fewer content blocks is taken; a null
+url stays null; repeated pages are extracted each; columns other than page_id, url and html are
+ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .page_blocks import FIRM, Block, blocks, costs
+from .page_blocks import Block, blocks, costs
 
 NEXT = 0.35
 SAME = 0.45
@@ -27,7 +33,7 @@ def edges(some: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness: neighbours on the page, and the next block of the same element."""
     out, last = [], {}
     for i, b in enumerate(some):
-        if i and (some[i - 1].state == FIRM) == (b.state == FIRM):
+        if i:
             out.append((i - 1, i, NEXT))
         j = last.get((b.parent, b.state))
         if j is not None:

@@ -253,6 +253,79 @@ def test_html(spark):
     assert html_extraction.extracted(frame.limit(0)).count() == 0
 
 
+LONG = "This is a long paragraph of an article, with many words in it, and it goes on for a while. " * 6
+ART = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+WANT = "\n".join(["Title", LONG.strip(), LONG.strip()])
+WRAPPERS = ["layout no-sidebar", "row search-results", "page with-sidebar", "grid has-comments", "wrap ad-free", "container social", "modal-open", "sidebar", "newsletter-page"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_no_article_is_lost_under_a_name(name):
+    for inner in (ART, f"<article>{ART}</article>", f"<main>{ART}</main>"):
+        page = f'<body><nav><a href=/>Home</a></nav><div class="{name}">{inner}</div><footer>Copyright, all rights reserved.</footer></body>'
+        assert html_extraction.main_text(page) == WANT
+
+
+def test_no_article_is_lost_in_a_form():
+    page = f'<body><form id="all" action="/"><div class="header"><a href="/">Home</a></div>{ART}<div class="comments"><p>{LONG}</p></div></form></body>'
+    assert html_extraction.main_text(page) == WANT
+
+
+GERMAN = """<!doctype html><html lang=de><body class="home mit-seitenleiste"><div id=topbar class="top-nav"><ul><li><a href=/>Start</a><li><a href=/k>Kontakt</a></ul></div>
+<div class="content-area"><h1>Der Fluß und die Stadt</h1><p class=lead>Seit Jahrhunderten fließt der Strom durch das Tal, und die Menschen leben mit ihm.</p>
+<div class="werbung"><p>Jetzt kaufen! Nur heute alles um die Hälfte billiger, solange der Vorrat reicht.</p></div><h2>Hochwasser</h2><p>Im Frühjahr steigt das Wasser &ndash; manchmal
+bis an die Türen der Häuser.</p><table><tr><td>Pegel</td><td>3,2 m</td></tr></table></div><div class="kommentare"><h3>2 Kommentare</h3><p>Sehr schöner Artikel, vielen Dank dafür, weiter so!</p></div>
+<div class=footer>Impressum und Datenschutz. Alle Rechte vorbehalten.</div></body></html>"""
+SPANISH = """<html><body><div class="cookie-banner">Usamos cookies para mejorar la experiencia de todos los lectores. Acepte, por favor.</div><header><a href="/">Diario</a></header>
+<section><h1>La ciudad que no duerme</h1><p>Cada noche, cuando las tiendas cierran, empieza otra vida en las calles del centro.</p><ul><li>Bares que abren tarde</li><li>Mercados de madrugada</li></ul>
+<p>Los vecinos se quejan del ruido, pero tambi&eacute;n lo echan de menos.</p></section><aside><h2>M&aacute;s le&iacute;das</h2><p><a href=1>Otra noticia del d&iacute;a que interesa</a></p></aside>
+<form action=/s><label>Suscr&iacute;base a nuestro bolet&iacute;n de noticias.</label><input></form><script>var a = 1;</script></body></html>"""
+
+
+def test_pages_labelled_by_hand():
+    assert html_extraction.main_text(GERMAN).split("\n") == [
+        "Der Fluß und die Stadt",
+        "Seit Jahrhunderten fließt der Strom durch das Tal, und die Menschen leben mit ihm.",
+        "Hochwasser",
+        "Im Frühjahr steigt das Wasser – manchmal bis an die Türen der Häuser.",
+        "Pegel 3,2 m",
+    ]
+    assert html_extraction.main_text(SPANISH).split("\n") == [
+        "La ciudad que no duerme",
+        "Cada noche, cuando las tiendas cierran, empieza otra vida en las calles del centro.",
+        "Bares que abren tarde",
+        "Mercados de madrugada",
+        "Los vecinos se quejan del ruido, pero también lo echan de menos.",
+    ]
+
+
+def test_remarks_and_bars_stay_out():
+    short = "The article itself is short, but it is the article and has its own sentences."
+    remarks = f'<section id="comments"><h2>12 comments</h2>{f"<p>{LONG}</p>" * 12}</section>'
+    assert html_extraction.main_text(f"<body><article><h1>Short</h1><p>{short}</p></article>{remarks}</body>") == f"Short\n{short}"
+    assert html_extraction.main_text('<body><nav><a href=/>Home</a></nav><div class="ad">Buy our things now, they are great.</div></body>') == ""
+    cards = "".join(f'<article><h3>Card {i}</h3><p>{LONG}</p></article>' for i in range(3))
+    assert html_extraction.main_text(f"<body><article>{ART}</article><aside>{cards}</aside></body>") == WANT
+
+
+@pytest.mark.parametrize("page", ["<div></b>", "<div class=sidebar>x ", "</p><p>", "<li><ul>", "<a href=x><div></div>", "<span></i>"])
+def test_broken_nesting_takes_linear_time(page):
+    import time
+
+    took = []
+    for n in (3_000, 24_000):
+        began = time.perf_counter()
+        html_extraction.main_text("<b>" + page * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_extraction_of_repeated_and_clashing_rows(spark):
+    rows = [(1, "u", PAGE, "t", 5), (1, "u", PAGE, None, 6), (None, None, None, "t", 7)]
+    got = html_extraction.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
+    assert sorted(r.n_chars for r in got) == [0, 60, 60] and got[0].text.startswith("Title")
+
+
 def test_pages_of_the_table(spark, data):
     for r in html_extraction.extracted(spark.read.parquet(f"{data}/pages.parquet")).collect():
         assert r.n_chars == len(r.text) and r.n_chars > 0
