@@ -329,3 +329,71 @@ def test_extraction_of_repeated_and_clashing_rows(spark):
 def test_pages_of_the_table(spark, data):
     for r in html_extraction.extracted(spark.read.parquet(f"{data}/pages.parquet")).collect():
         assert r.n_chars == len(r.text) and r.n_chars > 0
+
+
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+
+
+def junk(rnd, n):
+    return " ".join(rnd.choice(["$$$|||", "###%%%", "&&&***"]) + str(rnd.randint(0, 10**6)) for _ in range(n))
+
+
+def test_small_sources_borrow_from_their_whole_language(spark):
+    rnd = random.Random(4)
+    rows = [(i, words(rnd, 120), "en", "A") for i in range(400)] + [(1000 + i, junk(rnd, 120), "en", "J") for i in range(20)]
+    rows += [(2000 + i, words(rnd, 120), "en", "K") for i in range(3)] + [(3000 + i, words(rnd, 120), "xx", "L") for i in range(2)] + [(4000, junk(rnd, 90), "yy", "M")]
+    got = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in got if 1000 <= i < 2000 or i == 4000)
+    assert sum(got[i] for i in range(400)) >= 398 and all(got[i] for i in got if 2000 <= i < 4000)
+
+
+def mcd(y, starts, share, floors):
+    """The least determinant over many starts by exact concentration steps on the nearest rows."""
+    h = math.ceil(share * len(y))
+    best = None
+    for m, s in starts:
+        for _ in range(50):
+            d = np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(s), y - m)
+            near = y[np.argsort(d, kind="stable")[:h]]
+            m, s = near.mean(0), quality_rules.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(floors)
+        det = np.linalg.slogdet(s)[1]
+        if best is None or det < best[0]:
+            best = det, m, s
+    return best
+
+
+def test_minimum_covariance_determinant_in_numpy(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(600):
+        text = words(rnd, rnd.randint(60, 200))
+        if i % 4 == 0:
+            text = junk(rnd, rnd.randint(1, 30)) + " " + text
+        if i % 7 == 0:
+            text += "\n" + "\n".join(["one line that repeats itself"] * rnd.randint(2, 9))
+        rows.append((i, text, "en", "s"))
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    good = [r for r in got.values() if not r.base_failed]
+    lines = {i: len([l for l in t.split("\n") if l.strip()]) for i, t, *_ in rows}
+    y = np.array([[math.log(r.word_chars / r.n_words + 0.01), math.log(1 + 10 * r.n_symbols / r.n_words), math.sqrt(r.n_dup_lines / lines[r.doc_id]), math.sqrt(r.n_repeat_words / r.n_words)] for r in good])
+    floors = np.square(quality_rules.FLOORS)
+    rng = np.random.default_rng(0)
+    starts = [(np.median(y, 0), np.diag(floors)), (y.mean(0), np.cov(y.T) + np.diag(floors))]
+    for _ in range(200):
+        some = y[rng.choice(len(y), 12, replace=False)]
+        starts.append((some.mean(0), np.cov(some.T) + np.diag(floors)))
+    _, m, s = mcd(y, starts, quality_rules.SHARE, floors)
+    d = np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(s), y - m)
+    want = d <= quality_rules.CUTOFF
+    clear = np.abs(np.log(d / quality_rules.CUTOFF)) > 0.15
+    kept = np.array([r.kept for r in good])
+    assert (kept == want)[clear].all() and clear.mean() > 0.9 and 0.02 < (~want).mean()
+
+
+def test_a_very_long_text_is_counted_whole(spark):
+    rnd = random.Random(2)
+    own = [str(rnd.randint(0, 10**9)) for _ in range(300_000)]
+    own[250_000:250_005] = own[10:15]
+    frame = spark.createDataFrame([(1, " ".join(own), "en", "s"), (1, " ".join(own), None, None)], "doc_id long, text string, lang string, source string")
+    assert {(r.n_words, r.n_repeat_words) for r in quality_rules.judged(frame).collect()} == {(300_000, 10)}
