@@ -220,8 +220,70 @@ def test_language_id_odd_texts(small):
     assert {r.lang_pred for r in one.collect()} == {"en", "und"}
 
 
+def plain_codes(rows):
+    """Weights and trust by loops over dictionaries of counted n-grams."""
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        raw = language_id.letters(text or "")
+        for o, n in enumerate(language_id.ORDERS):
+            for i in range(len(raw or b"") - n + 1):
+                gram = int.from_bytes(raw[i : i + n], "big")
+                counts[lang][o, (gram * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language_id.WIDTH] += 1
+    names = sorted(counts)
+    words = language_id.code_words(len(names))
+    size = 1 << language_id.WIDTH
+    total = {(l, o): sum(c for (p, _), c in counts[l].items() if p == o) + 0.5 * size for l in names for o in range(4)}
+    rate = lambda l, f: (counts[l][f] + 0.5) / total[l, f[0]]
+    weight = {}
+    for f in itertools.product(range(4), range(size)):
+        r = [rate(l, f) for l in names]
+        weight[f] = [
+            math.log(sum(x for x, w in zip(r, words[:, j]) if w > 0) / (words[:, j] > 0).sum()) - math.log(sum(x for x, w in zip(r, words[:, j]) if w < 0) / (words[:, j] < 0).sum())
+            for j in range(words.shape[1])
+        ]
+    trust = [max(1e-3, min(sum(rate(l, f) / 4 * w[j] for f, w in weight.items()) * words[i, j] for i, l in enumerate(names))) for j in range(words.shape[1])]
+    return names, words, weight, [t / (sum(trust) / len(trust)) for t in trust]
+
+
+def test_language_codes_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "HELD", 2)
+    texts = {"en": "the cat and the dog", "de": "der Hund und die Katze", "fr": "le chien et le chat", "ru": "кошка и собака", "es": "el perro y el gato", "pl": "pies i kot są tu", "x": "zzz qqq"}
+    rows = [(i, f"{t} {i % 5} {t[: i % 11]}", l) for i, (l, t) in enumerate(list(texts.items()) * 6)] + [(900, "!!", "never"), (901, None, "en"), (902, "the gato", None), (902, "the gato", None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    names, words, weight, trust = plain_codes([(t, l) for i, t, l in rows if l and not held(i)])
+    assert names == sorted(texts)
+    got = language_id.predicted(spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    for i, text, _ in rows:
+        raw = language_id.letters(text or "")
+        if not raw:
+            assert (by_id[i].lang_pred, by_id[i].score) == ("und", 0.0)
+            continue
+        margin = [0.0] * words.shape[1]
+        for o, n in enumerate(language_id.ORDERS):
+            for k in range(len(raw) - n + 1):
+                f = o, (int.from_bytes(raw[k : k + n], "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language_id.WIDTH
+                margin = [m + w for m, w in zip(margin, weight[f])]
+        total = sum(len(raw) - n + 1 for n in language_id.ORDERS) / 4
+        loss = [sum(t * math.log1p(math.exp(-m / math.sqrt(total) * w)) for t, m, w in zip(trust, margin, word)) for word in words.tolist()]
+        p = [math.exp(min(loss) - x) for x in loss]
+        assert by_id[i].lang_pred == names[loss.index(min(loss))] and by_id[i].score == pytest.approx(max(p) / sum(p), abs=1e-4)
+
+
+def test_more_languages_than_a_short_code(spark):
+    rnd = random.Random(1)
+    alphabets = ["".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 6)) for _ in range(150)]
+    write = lambda a: " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(2, 8))) for _ in range(60))
+    rows = [(i, write(alphabets[i % 150]), f"l{i % 150:03}") for i in range(900)]
+    got = language_id.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {i: l for i, _, l in rows}
+    held = [r for r in got if r.held_out]
+    assert len({r.lang_pred for r in got}) > 140 and sum(r.lang_pred == truth[r.doc_id] for r in held) > 0.9 * len(held)
+
+
 def test_code_words_are_apart():
-    for n in (2, 3, 4, 5, 9, 20):
+    for n in (2, 3, 4, 5, 9, 20, 700):
         w = language_id.code_words(n)
         assert len(w) == n and min((w[a] != w[b]).sum() for a, b in itertools.combinations(range(n), 2)) >= max(1, w.shape[1] // 4)
 
