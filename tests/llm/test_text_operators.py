@@ -47,25 +47,97 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.3 * len(bad)
 
 
+def numpy_rake(cells, shares):
+    """Tokens of cells {(source, lang, topic): t} raked by plain proportional fitting on a dense cube."""
+    axes = [sorted({k[i] for k in cells}) for i in range(3)]
+    x = np.zeros([len(a) for a in axes])
+    for k, t in cells.items():
+        x[tuple(a.index(v) for a, v in zip(axes, k))] = t
+    total = x.sum()
+    for _ in range(source_mixing.ROUNDS):
+        for i in range(3):
+            s = x.sum(tuple(j for j in range(3) if j != i))
+            want = np.array([shares[i].get(v, 0.0) for v in axes[i]]) * total
+            x = x * np.divide(want, s, out=np.zeros_like(s), where=s > 0).reshape([-1 if j == i else 1 for j in range(3)])
+    return {k: x[tuple(a.index(v) for a, v in zip(axes, k))] for k in cells}
+
+
+def cells_of(rows):
+    cells = collections.Counter()
+    for r in rows:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    return cells
+
+
 def test_mixing(spark, small, nothing):
     _, frame = small
     rows = source_mixing.weighted(frame).collect()
     by_joins = source_mixing.weighted(frame, few_cells=0).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, by_joins))
-    total = sum(r.n_tokens for r in rows)
-    for by in source_mixing.MARGINALS:
-        own, raked = collections.Counter(), collections.Counter()
-        for r in rows:
-            own[r[by]] += r.n_tokens
-            raked[r[by]] += r.n_tokens * r.weight
-        z = sum(v**source_mixing.TEMPER for v in own.values())
-        assert all(math.isclose(raked[k] / total, v**source_mixing.TEMPER / z, abs_tol=2e-3) for k, v in own.items())
-    assert max(r.probability for r in rows) == 1.0
+    plain = lambda some: sorted((r.doc_id, r.topic, round(r.probability, 5), r.selected) for r in some)
+    assert plain(rows) == plain(by_joins)
+    cells = cells_of(rows)
+    total = sum(cells.values())
+    power = source_mixing.TEMPER
+    own = [collections.Counter() for _ in range(3)]
+    for k, t in cells.items():
+        for i in range(3):
+            own[i][k[i]] += t
+    z = [sum(t**power for t in o.values()) for o in own]
+    shares = [{k: t**power / z[i] for k, t in own[i].items()} for i in (0, 1)]
+    lang_of = {k[2]: k[1] for k in cells}
+    within = collections.Counter()
+    for topic, t in own[2].items():
+        within[lang_of[topic]] += t**power
+    shares.append({k: shares[1][lang_of[k]] * t**power / max(within[lang_of[k]], 1e-300) for k, t in own[2].items()})
+    want = numpy_rake(cells, shares)
+    for r in rows:
+        k = r.source, r.lang, r.topic
+        assert r.weight == pytest.approx(want[k] / cells[k] if cells[k] else 0.0, abs=2e-5, rel=1e-4)
+    assert sum(r.n_tokens * r.probability for r in rows) == pytest.approx(source_mixing.BUDGET * total, rel=1e-3)
+    assert max(r.probability for r in rows) <= 1.0
     out = source_mixing.mixed(frame)
     assert out.columns == frame.columns and out.count() == sum(r.selected for r in rows)
     assert source_mixing.weighted(nothing).count() == 0
 
 
+def test_mixing_with_given_targets(spark):
+    rnd = random.Random(5)
+    rows = [(i, words(rnd, rnd.randint(1, 90)), "en" if i % 3 else "de", "abc"[i % 3 if i < 580 else 2]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    given = {"=a": 0.2, "=b": 0.3, "=c": 0.3, "=none": 0.2}
+    source = spark.createDataFrame(list(given.items()), "source string, share double")
+    topic = "CASE WHEN n_tokens < 40 THEN 'short' ELSE 'long' END"
+    for few in (0, 1000):
+        got = source_mixing.weighted(frame, topic=topic, targets={"source": source}, few_cells=few, rounds=100).collect()
+        assert len(got) == 600
+        raked = collections.Counter()
+        for r in got:
+            raked[r.source] += r.n_tokens * r.weight
+        total = sum(r.n_tokens for r in got)
+        # the target without documents leaves its part to the others
+        assert all(raked[k] / total == pytest.approx(given[k] / 0.8, abs=1e-5) for k in ("=a", "=b", "=c"))
+    with pytest.raises(ValueError, match="no target"):
+        source_mixing.weighted(frame, topic=topic, targets={"source": source.where("source != '=a'")})
+
+
+def test_a_rare_cell_does_not_thin_out_the_rest(spark):
+    rnd = random.Random(6)
+    rows = [(i, words(rnd, 60), "en", "big") for i in range(400)] + [(1000, words(rnd, 20), "en", "tiny")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    source = spark.createDataFrame([("=big", 0.9), ("=tiny", 0.1)], "source string, share double")
+    got = source_mixing.weighted(frame, topic="'all'", targets={"source": source}).collect()
+    tiny = next(r for r in got if r.doc_id == 1000)
+    assert tiny.selected and tiny.probability == 1.0 and tiny.shortfall > 10
+    assert 0.4 < sum(r.selected for r in got) / len(got) < 0.6
+
+
+def test_targets_that_cannot_hold_are_told(spark):
+    frame = spark.createDataFrame([(1, "a b c", "en", "s"), (2, "a b c", "de", "t")], "doc_id long, text string, lang string, source string")
+    off = {"source": spark.createDataFrame([("=s", 0.9), ("=t", 0.1)], "source string, share double"), "lang": spark.createDataFrame([("=en", 0.1), ("=de", 0.9)], "lang string, share double")}
+    with pytest.warns(UserWarning, match="do not all hold"):
+        assert source_mixing.weighted(frame, targets=off).count() == 2
+
+
 def test_packing_round_trip(small, nothing):
     rows, frame = small
     pieces = packing.packed(frame, pool_tokens=20_000).collect()
