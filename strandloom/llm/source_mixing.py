@@ -59,7 +59,7 @@ SELECT lang, sort_array(collect_list(struct(word, idf))) AS topics FROM (
 #: The word of the highest count times idf, the first by name of equals; only words that a document holds are counted.
 STANDS_OUT = """
 coalesce(aggregate(
-  transform(array_sort(array_intersect(topics.word, words)), t -> named_struct('s', round(size(filter(words, w -> w = t)) * topics.idf[array_position(topics.word, t) - 1], 9), 'word', t)),
+  transform(array_sort(array_intersect(topics.word, words)), t -> named_struct('s', round((size(words) - size(array_remove(words, t))) * topics.idf[array_position(topics.word, t) - 1], 9), 'word', t)),
   named_struct('s', CAST(0 AS DOUBLE), 'word', ''), (a, x) -> if(x.s > a.s, x, a), a -> a.word), '')"""
 
 CELLS = "SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t FROM {rows} GROUP BY source, lang, topic"
@@ -109,9 +109,9 @@ def _rows(docs: DataFrame, topic: str | None) -> DataFrame:
         return docs.select("*", tokens).select("doc_id", "source", "lang", F.expr(topic).alias("topic"), "n_tokens", u)
     docs = docs.select("*", F.expr(WORDS).alias("words"))
     words = docs.select("lang", F.explode(F.array_distinct("words")).alias("word")).where(F.length("word") >= LETTERS)
-    candidates = written(narrow(spark.sql(CANDIDATES, words=words, docs=docs.select("lang"))), "mix-words")
+    candidates = written(spark.sql(CANDIDATES, words=words, docs=docs.select("lang")), "mix-words")
     known = docs.join(F.broadcast(spark.sql(TOPIC_WORDS, candidates=candidates)), "lang", "left")
-    tokens = F.expr("size(filter(words, w -> w != ''))").cast("long").alias("n_tokens")
+    tokens = F.size(F.array_remove("words", "")).cast("long").alias("n_tokens")
     return known.select("doc_id", "source", "lang", F.concat("lang", F.lit("|"), F.expr(STANDS_OUT)).alias("topic"), tokens, u)
 
 
