@@ -1,15 +1,18 @@
 """SimHash near-dedup by anchor-point covering.
 
 Each text becomes a 64-bit fingerprint of its word shingles. Equal fingerprints fall together
-first. The distinct ones are replicated to the anchors of covering codes (see anchors), compared
+first. The distinct ones are replicated to the anchors of covering codes, of which there are more the
+more fingerprints there are (see anchors), compared
 with each other per anchor, and the links found are joined into components. A comparison emits a
 spanning forest of what it found, never all pairs of a group.
 
 Defined cases: words are what ASCII white space separates, ASCII letters lower-cased; a text of
 fewer words than a shingle is one shingle; null, empty and blank texts have fingerprint zero and
 link like any other; repeated rows share a component; rows with null doc_id link too, and a
-component without any doc_id has a null id (ids are below 2^62); extra columns are ignored by
-`fingerprints` and kept by `deduplicated`, where rows without doc_id stay or go together.
+component without any doc_id has a null id (ids are below 2^62); a very long text is hashed whole, in
+slices of `SLICE` shingles; a bit that half the shingles have is not set; extra columns are ignored by
+`fingerprints` and kept by `deduplicated`, whatever their names, where rows without doc_id stay or go
+together; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -63,8 +66,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def _replicated(layout):
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 20_000):
-                batch = whole.slice(at, 20_000)
+            for at in range(0, whole.num_rows, 4_000):
+                batch = whole.slice(at, 4_000)
                 fp = batch.column(0).to_numpy().view(np.uint64)
                 rep = batch.column(1).to_numpy()
                 for block, home, around in anchors.replicas(fp, layout):
@@ -142,13 +145,14 @@ def _links(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, layout=anchors.WIDE, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, layout=None, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprints as hex, components by the smallest doc_id."""
-    if sum(t + 1 for *_, t in layout) <= distance:
+    if layout and sum(t + 1 for *_, t in layout) <= distance or distance > DISTANCE and not layout:
         raise ValueError("the blocks' thresholds leave links out")
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    reps = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nameless("fp")).alias("rep"))
-    copies = narrow(reps.select("fp", "rep")).mapInArrow(_replicated(layout), "anchor long, fp long, rep long, home boolean")
+    reps = written(narrow(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), nameless("fp")).alias("rep"))), "fingerprint-reps")
+    layout = layout or anchors.layout_for(reps.count())
+    copies = reps.select("fp", "rep").mapInArrow(_replicated(layout), "anchor long, fp long, rep long, home boolean")
     # an anchor with one fingerprint links nothing
     crowded = dealt(written(copies, "anchor-copies"), "anchor", "fp", bucket)
     links = crowded.select("anchor", "pair", "fp", "rep", "home", "part").mapInArrow(_compared(distance), "a long, b long")
