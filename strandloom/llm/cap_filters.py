@@ -12,9 +12,11 @@ A pair that meets on several filters counts on the first of them only, so links
 without listing pairs; a bucket emits one count a vector and a spanning forest.
 
 Defined cases: null vectors, zero vectors and vectors with null or non-finite components link
-with nothing; vectors of different lengths never link; below `least_dim` dimensions all vectors
-share one bucket; rows with null vec_id link too, a component of such rows alone has a null id (ids are
-below 2^62); exact copies are compared once and all count as links of each other.
+with nothing; vectors of different lengths never link; below `LEAST_DIM` dimensions, where caps are no
+filters, all vectors share one bucket, compared in pairs of parts; rows with null vec_id link too, a
+component of such rows alone has a null id (ids are below 2^62); exact copies are compared once and all
+count as links of each other; columns other than vec_id and embedding are ignored, whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ PASSES = 32
 #: Filters that two vectors at the threshold share on average.
 COMMON = 18
 MOST = 0.02
+#: Below this, two blocks are too small for a cap: pairs at 0.9 were met in 0.70 (8 dimensions) to 0.91 (12) of the cases at 200,000 vectors.
 LEAST_DIM = 16
 BUCKET = 4096
 BLOCK = 512
@@ -132,23 +135,33 @@ def compared(key: int, rep, copies, unit, passed, left, right, cosine: float):
     label, edges = np.arange(len(rep)), []
     own = key // 4096
     early = [p[p < own] for p in passed]
-    slots, inverse = np.unique(np.concatenate(early), return_inverse=True)
-    member = np.zeros((len(rep), len(slots)), np.float32)
-    member[np.repeat(np.arange(len(rep)), [len(e) for e in early]), inverse] = 1
+    sizes = np.array([len(e) for e in early])
+    ends = np.cumsum(sizes)
+    _, slot = np.unique(np.concatenate(early), return_inverse=True)
+    holders = np.repeat(np.arange(len(rep)), sizes)[np.argsort(slot, kind="stable")]
+    stops = np.cumsum(np.bincount(slot)) if len(slot) else np.zeros(0, np.int64)
+    starts = stops - np.bincount(slot) if len(slot) else stops
+
+    def met_before(i):
+        """Rows that share an earlier filter with row i, from lists of the rows on each."""
+        out = np.zeros(len(rep), bool)
+        for s in slot[ends[i] - sizes[i] : ends[i]].tolist():
+            out[holders[starts[s] : stops[s]]] = True
+        return out
+
     same = left is right
     for at in range(0, len(left), BLOCK):
         some = left[at : at + BLOCK]
         near = unit[some] @ unit[right].T >= cosine
         if same:
             near &= some[:, None] != right[None, :]
-        if not near.any():
-            continue
-        new = near & (member[some] @ member[right].T == 0)
-        count[some] += new @ copies[right]
-        if not same:
-            count[right] += copies[some] @ new
-        for i in np.flatnonzero(new.any(1)).tolist():
-            found = right[new[i]]
+        for i in np.flatnonzero(near.any(1)).tolist():
+            found = right[near[i] & ~met_before(some[i])[right]]
+            if not len(found):
+                continue
+            count[some[i]] += copies[found].sum()
+            if not same:
+                count[found] += copies[some[i]]
             labels, first = np.unique(label[found], return_index=True)
             for other, j in zip(labels.tolist(), first.tolist()):
                 here = label[some[i]]
@@ -220,7 +233,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bucket: int = BU
     named = components(found.where("b is not null").select("a", "b"))
     labels = reps.join(counts, "rep", "left").join(named, reps["rep"] == named["node"], "left")
     labels = labels.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    labels = labels.withColumn("c", F.when(F.col("c") < NAMELESS, F.col("c")))
+    # a table of its own, so that the join below may split a vector that very many rows share
+    labels = written(labels.withColumn("c", F.when(F.col("c") < NAMELESS, F.col("c"))), "vector-labels")
     good = rows.where(usable).join(labels, "embedding").select("vec_id", F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     bad = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
