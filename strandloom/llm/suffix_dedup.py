@@ -14,11 +14,16 @@ Digits, most significant first:
 An anchor that very many different runs share is not sorted in one task: its windows are
 counted by Spark with partial aggregation instead.
 
-Digits are compared by 64-bit hashes inside groups that agree on all earlier digits.
+Runs that a text repeats within itself are folded into one row with their number first, so that blanks or
+short periods, where the anchor moves with every window, give a few rows and one stretch.
+
+Digits are compared by 64-bit hashes inside groups that agree on all earlier digits. What is gathered a
+document, the runs that are asked of it and its stretches, is less than its text.
 Defined cases: null text counts as empty; a text shorter than `width` bytes has no window and
-stays as it is; repeated rows are copies of each other; rows with one doc_id and different texts are
-not supported; a null doc_id stands for its text's hash; extra columns, nulls in them included,
-pass through `deduplicated` untouched; an empty table gives an empty table.
+stays as it is; a very long text is read in chunks of `CHUNK` bytes; repeated rows are copies of each
+other; rows with one doc_id and different texts, and rows with a null doc_id, are told apart by
+their text's hash; extra columns, nulls in them included, pass through `deduplicated` untouched; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,8 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import discard, written
-from .suffix_bytes import digest, gram_hashes, window_runs
+from .storage import NAMELESS, discard, written
+from .suffix_bytes import folded, gram_hashes, window_runs
 
 WIDTH = 200
 GRAM = 64
@@ -39,37 +44,42 @@ DIGIT = 40
 HOT = 1024
 POOL = 1 << 18
 
-RUNS = "doc_id long, start int, n int, off int, gram long, span long"
+RUNS = "doc_id long, start int, n int, off int, gram long, span long, c int"
 
 
 def _runs(width: int, gram: int):
+    """Folded runs; a row without gram is a stretch of n bytes that the text repeats within itself."""
+
     def run(batches):
         for batch in batches:
-            cols = [[] for _ in range(6)]
+            held, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = (text.as_py() or "").encode()
-                start, n, anchor = window_runs(raw, width, gram)
-                view = memoryview(raw)
-                start_l, anchor_l = start.tolist(), anchor.tolist()
-                cols[0].append(np.full(len(start), doc, np.int64))
-                cols[1].append(start)
-                cols[2].append(n)
-                cols[3].append(anchor - start)
-                cols[4].append(np.fromiter((digest(view[a : a + gram]) for a in anchor_l), np.int64, len(start)))
-                cols[5].append(np.fromiter((digest(view[a : a + k + width - 1]) for a, k in zip(start_l, n.tolist())), np.int64, len(start)))
-                if sum(map(len, cols[0])) > 100_000:
-                    yield _batch(cols)
-                    cols = [[] for _ in range(6)]
-            if cols[0]:
-                yield _batch(cols)
+                start, n, anchor, grams, spans = window_runs(text.as_buffer().to_pybytes() if text.is_valid else b"", width, gram)
+                if not len(start):
+                    continue
+                (start, n, off, grams, spans), count, stretches = folded(start, n, anchor - start, grams, spans, width)
+                held.append((doc, start, n, off, grams, spans, count))
+                if len(stretches):
+                    a, b = stretches.T
+                    held.append((doc, a, b - a, np.zeros(len(a)), None, None, np.zeros(len(a))))
+                size += len(start) + len(stretches)
+                if size > 100_000:
+                    yield _batch(held)
+                    held, size = [], 0
+            if held:
+                yield _batch(held)
 
     return run
 
 
-def _batch(cols):
-    kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64)
-    names = ("doc_id", "start", "n", "off", "gram", "span")
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)], names=list(names))
+def _batch(held):
+    length = [len(h[1]) for h in held]
+    bare = np.repeat([h[4] is None for h in held], length)
+    cols = [pa.array(np.repeat(np.array([h[0] for h in held], np.int64), length))]
+    for i, kind in zip(range(1, 7), (np.int32, np.int32, np.int32, np.int64, np.int64, np.int32)):
+        whole = np.concatenate([np.zeros(m, kind) if h[i] is None else h[i].astype(kind) for h, m in zip(held, length)])
+        cols.append(pa.array(whole, mask=bare if i in (4, 5) else None))
+    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in RUNS.split(", ")])
 
 
 def _cut(width: int, limit: int):
@@ -199,14 +209,16 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, ho
     Stretches may touch or overlap; doc_id must be unique in docs(doc_id, text).
     """
     docs = docs.select("doc_id", "text")
-    runs = written(docs.mapInArrow(_runs(width, gram), RUNS), "suffix-runs")
+    every = written(docs.mapInArrow(_runs(width, gram), RUNS), "suffix-runs")
+    runs = every.where("gram is not null")
+    within = written(every.where("gram is null").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")), "suffix-within")
     # a table of its own, so that the join below may split a gram that very many runs share
     twice = written(runs.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram"), "suffix-twice")
     shared = written(runs.join(twice, "gram"), "suffix-shared")
-    discard(runs)
+    discard(every)
     discard(twice)
     # a table of its own too: the last join may then split a run that very many documents share
-    spans = written(shared.groupBy("gram", "span").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "n", "off")).alias("rep")), "suffix-spans")
+    spans = written(shared.groupBy("gram", "span").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "start", "n", "off")).alias("rep")), "suffix-spans")
     per_gram = spans.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
     mixed = written(spans.join(per_gram, "gram"), "suffix-mixed")
     asks = mixed.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("gram", "c", "k", "rep.start", "rep.n", "rep.off")).alias("asks"))
@@ -218,7 +230,7 @@ def repeated_stretches(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, ho
     by_count = hot.where("c = 1").join(hot_twice, ["gram", "off", "win"]).select("doc_id", F.col("start").alias("a"), (F.col("start") + width).alias("b"))
     fully = shared.join(spans.where("c > 1").select("gram", "span"), ["gram", "span"])
     fully = fully.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + width).alias("b"))
-    return by_sort.unionByName(by_count).unionByName(fully)
+    return by_sort.unionByName(by_count).unionByName(fully).unionByName(within)
 
 
 def merged(stretches) -> list[tuple[int, int]]:
@@ -276,8 +288,17 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_key`: the doc_id, or a hash of id and text where several rows or none have that id."""
+    of_text = F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 3)
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    if again.limit(1).count() == 0:
+        return docs.withColumn("_key", F.coalesce("doc_id", of_text))
+    return docs.join(again, "doc_id", "left").withColumn("_key", F.when(F.col("_n").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(of_text)).drop("_n")
+
+
 def _with_stretches(docs: DataFrame, width: int, hot_runs: int) -> DataFrame:
-    docs = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text")))
+    docs = _keyed(docs)
     found = repeated_stretches(docs.select(F.col("_key").alias("doc_id"), "text"), width, hot_runs=hot_runs)
     found = found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     return docs.join(found, "_key", "left").drop("_key")

@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -34,6 +36,41 @@ def test_suffix_windows_by_brute_force(small, hot):
     assert got == want and sum(v[1] for v in want.values()) > 10_000
 
 
+def test_suffix_windows_of_few_different_bytes(spark):
+    """Runs that repeat inside a text are one row each, whatever the text: blanks, short periods, periods with a flaw."""
+    rnd = random.Random(3)
+    rows = [(1, "\0" * 3000), (2, " " * 900 + "x" + " " * 900), (3, "abc" * 700), (4, "abc" * 300 + "abd" + "abc" * 300), (5, "".join(rnd.choice("ab") for _ in range(3000)))]
+    rows += [(6, "x" + "\0" * 199), (7, "y" + "\0" * 200 + "z"), (8, ("0123456789" * 13 + "q") * 9), (9, "0123456789" * 20)]
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == repeated(rows)
+    for text in ("\0" * 100_000, " " * 100_000, "abc" * 33_000):
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]})
+        assert sum(b.num_rows for b in suffix_dedup._runs(200, 64)(iter([batch]))) < len(text) / 50
+
+
+def test_suffix_windows_across_chunks(small, monkeypatch):
+    from strandloom.llm import suffix_bytes
+
+    rows, _ = small
+    text = " ".join(t for _, t, *_ in rows if t)[:60_000].encode()
+    whole = suffix_bytes.window_runs(text, 200, 64)
+    monkeypatch.setattr(suffix_bytes, "CHUNK", 1000)
+    parts = suffix_bytes.window_runs(text, 200, 64)
+    spread = lambda runs: np.repeat(runs[2], runs[1])
+    assert len(parts[0]) > len(whole[0]) and (spread(parts) == spread(whole)).all()
+
+
+def test_suffix_rows_with_one_id(spark):
+    """Rows with one id and different texts are documents of their own; repeated rows are copies."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, b, c = text(900), text(700), text(300)
+    rows = [(1, a), (1, b), (1, a[:400]), (2, c), (2, c), (3, b[100:500]), (None, a[300:800]), (None, None), (1, None)]
+    got = collections.Counter(tuple(r) for r in suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    want = repeated(list(enumerate(t for _, t in rows)))
+    assert got == collections.Counter((rows[i][0], *v) for i, v in want.items())
+
+
 def test_suffix_texts_keep_columns_and_characters(small, nothing):
     rows, frame = small
     out = suffix_dedup.deduplicated(frame)
@@ -73,7 +110,7 @@ def smallest(links, nodes):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("layout, bucket", [(anchors.WIDE, 1 << 14), (anchors.WIDE, 9), (anchors.DEEP, 1 << 14)])
+@pytest.mark.parametrize("layout, bucket", [(None, 1 << 14), (anchors.WIDE, 9), (anchors.MIDDLE, 1 << 14), (anchors.MIDDLE, 9), (anchors.DEEP, 1 << 14)])
 def test_simhash_by_brute_force(small, layout, bucket):
     rows, frame = small
     fp = {r[0]: fingerprint(r[1]) for r in rows}
@@ -90,7 +127,7 @@ def test_simhash_edges(small, nothing):
     assert out.columns == frame.columns and out.count() < len(rows)
     assert simhash_dedup.near_duplicates(nothing).count() == 0
     with pytest.raises(ValueError):
-        simhash_dedup.near_duplicates(frame, layout=((0, 0, 64, 1),))
+        simhash_dedup.near_duplicates(frame, layout=((0, 0, 0, 64, 1),))
 
 
 def test_golay_covers_everything():
@@ -99,13 +136,40 @@ def test_golay_covers_everything():
     assert (np.bitwise_count(words ^ home) <= 3).all() and (anchors.golay_anchor(home) == home).all()
 
 
+def test_hamming_covers_everything():
+    words = np.arange(1 << 15, dtype=np.uint64)
+    home = anchors.hamming_anchor(words)
+    assert (np.bitwise_count(words ^ home) <= 1).all() and (anchors.hamming_anchor(home) == home).all() and len(np.unique(home)) == 1 << 11
+
+
+def test_comparisons_grow_about_as_the_fingerprints_do():
+    """Homes met by replicas, over fingerprints at random: a hundred times the fingerprints cost no more than some hundred times as much."""
+    rng = np.random.default_rng(3)
+    cost = {}
+    for n in (10_000, 1_000_000):
+        fp = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        layout = anchors.layout_for(n)
+        asked = fp[rng.choice(n, 400)]
+        met = 0
+        for (_, home, _), (_, _, around) in zip(anchors.replicas(fp, tuple((*b[:4], 0) for b in layout)), anchors.replicas(asked, layout)):
+            found, count = np.unique(home, return_counts=True)
+            around = np.sort(around, 1)
+            fresh = np.concatenate((np.ones((len(around), 1), bool), around[:, 1:] != around[:, :-1]), 1)
+            wanted = around[fresh]
+            at = np.minimum(np.searchsorted(found, wanted), len(found) - 1)
+            met += int(count[at][found[at] == wanted].sum()) + len(wanted)
+        cost[n] = met / 400
+    print(cost)
+    assert cost[1_000_000] < 4 * cost[10_000]
+
+
 def test_anchors_meet_for_every_close_pair():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     b = a.copy()
     for k in range(4):
         b ^= np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64)
-    for layout in (anchors.WIDE, anchors.DEEP):
+    for layout in (anchors.WIDE, anchors.MIDDLE, anchors.DEEP):
         met = np.zeros(400, bool)
         for (_, home, _), (_, _, around) in zip(anchors.replicas(a, layout), anchors.replicas(b, layout)):
             met |= (around == home[:, None]).any(1)
@@ -159,6 +223,16 @@ def test_cap_filters_find_threshold_pairs_at_every_size(n):
     assert found >= 0.92
 
 
+@pytest.mark.parametrize("dim", [16, 20, 33])
+def test_cap_filters_of_few_dimensions(dim):
+    rng = np.random.default_rng(5)
+    x = cap_filters.units(rng.normal(size=(400, dim)))
+    g = rng.normal(size=(400, dim))
+    g = cap_filters.units(g - (g * x).sum(1, keepdims=True) * x)
+    one, two = (r << 40 | f for r, f in (cap_filters.list_decode(v, 5000) for v in (x, 0.9 * x + np.sqrt(0.19) * g)))
+    assert len(np.unique(np.intersect1d(one, two) >> 40)) / 400 >= 0.92
+
+
 @pytest.mark.parametrize("bucket", [cap_filters.BUCKET, 20])
 def test_cap_filters_against_all_pairs(spark, bucket):
     good = vectors(np.random.default_rng(0))
