@@ -33,10 +33,10 @@ from .storage import discard, written
 
 HELD_OUT = 10
 FREQUENT = 1 << 17
-SLICE = 1 << 22
-WORDS_HELD = 400_000
+SLICE = 1 << 20
+WORDS_HELD = 200_000
 #: Keys a task holds before it adds up what it has found.
-KEYS_HELD = 3_000_000
+KEYS_HELD = 1_500_000
 #: Coded bytes of a chunk: its distinct keys are asked for once.
 CHUNK = 1 << 25
 #: Buckets of subtrees at least, and parts of a bucket that are summed apart.
@@ -263,7 +263,7 @@ def _texts_and_questions(docs: DataFrame, words, depth: int, buckets: int) -> Da
                 number += 1
                 size += len(held[-1][-1])
                 since += len(held[-1][-1])
-                if since >= SLICE // 2:
+                if since >= SLICE:
                     yield texts()
                     since = 0
                 if size >= CHUNK:
