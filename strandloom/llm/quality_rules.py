@@ -4,8 +4,8 @@ Four statistics of a text are transformed so that ordinary texts of one language
 near normal. A minimum-covariance-determinant estimate for each language and source follows from
 concentration steps: from each of three starts (binned medians with least spreads, medians with
 quartile spreads, the classical mean and covariance), keep the `SHARE` of the documents nearest to the
-centre, take their mean and covariance, and repeat until no subset changes; of the estimates met on
-the way the one with the least determinant counts. Documents whose Mahalanobis distance exceeds the
+centre, take their mean and covariance, and repeat until determinants fall no further; of the estimates
+met on the way the one with the least determinant counts. Documents whose Mahalanobis distance exceeds the
 cutoff are rejected. A language and source with fewer than `LEAST` documents that pass the base rules
 borrows the estimate of its language, made from all its documents, and where the language has too
 few, that of all documents.
@@ -36,8 +36,9 @@ FLOORS = (0.05, 0.3, 0.3, 0.2)
 #: Squared distance beyond which a document is rejected: the 0.9999 quantile of chi-squared with four degrees of freedom.
 CUTOFF = 23.513
 LEAST = 100
-#: Steps at most; as a rule all subsets are stable after fewer.
+#: Steps at most, and the fall of ln of a group's determinant, on average, that is worth another step.
 STEPS = 16
+FALL = 1e-6
 BINS = 64
 DIMS = range(1, 5)
 PAIRS = [(i, j) for i in DIMS for j in DIMS if i <= j]
@@ -153,6 +154,9 @@ SELECT grp, start, n, {_MEANS}, {_covariance(CONSISTENCY)} FROM (SELECT grp, sta
   SELECT *, coalesce(sum(n) OVER (PARTITION BY grp, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer, sum(n) OVER (PARTITION BY grp, start) AS whole
   FROM {{rings}}) WHERE nearer < {SHARE} * whole GROUP BY grp, start)"""
 
+#: The mean over groups of the least determinant of a step.
+LEVEL = "SELECT avg(det) AS level FROM (SELECT grp, min(det) AS det FROM {roots} GROUP BY grp)"
+
 BEST = "SELECT grp, min_by(struct(*), (round(det, 9), step, start)) AS e FROM {met} GROUP BY grp"
 
 
@@ -166,14 +170,15 @@ def _judged(docs: DataFrame) -> DataFrame:
     bins = written(narrow(spark.sql(STATISTIC_BINS, members=members)), "quality-bins")
     medians = spark.sql(MEDIANS, quartiles=spark.sql(QUARTILES, bins=bins))
     roots = written(narrow(spark.sql(ROOTS, estimates=spark.sql(STARTS, medians=medians, members=members))), "quality-roots")
-    met, mark = [], None
+    met, least = [], None
     for step in range(STEPS):
         rings = spark.sql(RINGS, distances=spark.sql(DISTANCES, rows=members, roots=roots))
         roots = written(narrow(spark.sql(ROOTS, estimates=spark.sql(ESTIMATES, rings=rings))), "quality-roots")
         met.append(roots.withColumn("step", F.lit(step)))
-        seen, mark = mark, roots.agg(F.count("*"), F.sum("n"), F.sum(F.hash("grp", "start", F.round("det", 6)).cast("long"))).first()
-        if seen == mark:
+        now = spark.sql(LEVEL, roots=roots).first()["level"] or 0.0
+        if least is not None and now > least - FALL:
             break
+        least = now
     tried = met[0]
     for more in met[1:]:
         tried = tried.unionByName(more)
@@ -254,7 +259,11 @@ SELECT grp, 2, m, s FROM (SELECT grp, {moments(1.0)} FROM mem GROUP BY grp)"""
         steps[f"est{k + 1}"] = f"SELECT grp, st, {moments(CONSISTENCY)} FROM di{k} JOIN cu{k} USING (grp, st, ring) WHERE nearer < {SHARE} * whole GROUP BY grp, st"
     steps[f"el{STEPS}"] = pivots(f"est{STEPS}", "el")
     met = " UNION ALL ".join(f"SELECT {k} AS step, * FROM el{k}" for k in range(1, STEPS + 1))
-    steps["best"] = f"SELECT * FROM ({met}) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(det, 9), step, st) = 1"
+    steps["met"] = met
+    steps["level"] = "SELECT step, avg(det) AS m FROM (SELECT step, grp, min(det) AS det FROM met GROUP BY ALL) GROUP BY step"
+    steps["seen"] = "SELECT *, min(m) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM level"
+    steps["last"] = f"SELECT coalesce(min(step) FILTER (WHERE m > least - {FALL}), {STEPS}) AS last FROM seen"
+    steps["best"] = "SELECT * FROM met WHERE step <= (SELECT last FROM last) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(det, 9), step, st) = 1"
     steps["judged"] = distance("good", "best")
     ctes = ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in steps.items())
     return f"""WITH {ctes}
