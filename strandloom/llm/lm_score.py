@@ -25,10 +25,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .context_tree import BITS, CUT, DEPTH, coded, crown, distinct, grams, solved, subtrees, summed
+from .context_tree import BITS, CUT, DEPTH, END, coded, crown, distinct, grams, solved, subtrees, summed
 from .storage import discard, written
 
 HELD_OUT = 10
@@ -234,11 +235,15 @@ def _texts_and_questions(docs: DataFrame, words, depth: int, buckets: int) -> Da
 
         def texts():
             nonlocal rare_words, rare_counts, rare_ends
-            cols = dict(zip(("row", "doc_id", "n_tokens", "known", "base", "text"), zip(*held)))
+            *first, coded_texts = zip(*held)
+            cols = dict(zip(("row", "doc_id", "n_tokens", "known", "base"), first))
             rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())], names=["word", "tf"])
             cols["rare"] = pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare)
+            whole = b"".join(coded_texts)
+            found.extend(distinct(k) for k in _slices(whole, depth))
+            # the texts of all rows up to the next such one stand in the first, packed; closing bytes part them
+            cols["text"] = [zstandard.ZstdCompressor(level=1).compress(whole)] + [None] * (len(held) - 1)
             out = _columns(schema, **cols, chunk=[chunk] * len(held))
-            found.extend(distinct(k) for k in _slices(b"".join(cols["text"]), depth))
             held.clear()
             rare_words, rare_counts, rare_ends = [], [], [0]
             return out
@@ -299,15 +304,22 @@ def _scores(partial: DataFrame, trees: DataFrame, model, depth: int) -> DataFram
         log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in right.column("logs").to_pylist())])
         by = np.argsort(known)
         place, log = pd.Index(known[by]), log[by].astype(np.float64)
-        own = left.column("text")
-        sizes = np.array([len(t.as_buffer()) for t in own])
-        score, at = np.zeros(len(own)), 0
-        while at < len(own):
-            upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, "right")) + at)
-            values = [log[place.get_indexer(keys)] for keys in _slices(b"".join(own[i].as_py() for i in range(at, upto)), depth)]
-            ends = np.cumsum(sizes[at:upto])
-            score[at:upto] = np.add.reduceat(np.concatenate(values), ends - sizes[at:upto])
-            at = upto
+        left = left.sort_by("row")
+        score = [np.zeros(0)]
+        for packed in left.column("text").drop_null():
+            whole = zstandard.ZstdDecompressor().decompress(packed.as_py())
+            starts = np.concatenate(([0], np.flatnonzero(np.frombuffer(whole, np.uint8)[:-1] == END) + 1))
+            total = np.zeros(len(starts))
+            for i, keys in enumerate(_slices(whole, depth)):
+                # texts that begin in this slice, and the one that runs into it
+                first, last = np.searchsorted(starts, [i * SLICE, i * SLICE + len(keys)])
+                here = np.concatenate(([0], starts[first:last] - i * SLICE))
+                sums = np.add.reduceat(np.append(log[place.get_indexer(keys)], 0.0), here) * (np.diff(np.append(here, len(keys))) > 0)
+                total[first:last] += sums[1:]
+                if first:
+                    total[first - 1] += sums[0]
+            score.append(total)
+        score = np.concatenate(score)
         return left.select(["row", "doc_id", "n_tokens", "known", "base"]).append_column("score", pa.array(score))
 
     answers = trees.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answered, "chunk long, keys binary, logs binary")
