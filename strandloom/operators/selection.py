@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.functions.ordered import running
+
 
 def half_plane(x: Column, y: Column, x0: float, y0: float, degrees: float) -> Column:
     """Strictly above the line through (x0, y0) at this angle."""
@@ -49,7 +51,7 @@ def first_appearance_rank(df: DataFrame, label: str, score: str, tie: str, out:
     """1 for the label of the best row, 2 for the next new label down the score, ...
 
     Null and `Unassigned` labels take no rank; with last_for_null they share the one after the last.
-    The ranking runs over one row a label, not over the rows.
+    The ranking runs over one row a label, in one task: labels are names of families, not rows.
     """
     named = df.where(F.col(label).isNotNull() & (F.col(label) != "Unassigned"))
     best = named.groupBy(label).agg(F.max(F.struct(F.col(score), (-F.col(tie)).alias("t"))).alias("_b"))
@@ -86,11 +88,19 @@ def by_frequency(df: DataFrame, label: str) -> DataFrame:
     return df.join(counts, label, "left").orderBy(F.desc("frequency"), label)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, by: list[str] | None = None, tie: str | None = None) -> DataFrame:
-    """Adjusted p-values: the least p * m / rank over this and all larger p."""
+def benjamini_hochberg(df: DataFrame, p: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Adjusted p-values: the least p * m / rank over this and all larger p; a null p stays without.
+
+    Equal p-values share the last of their ranks, so counting them first changes nothing and no task sorts them all.
+    """
     keys = by or []
-    order = [F.col(p)] + ([F.col(tie)] if tie else [])
-    base = Window.partitionBy(*keys)
-    rows = df.withColumn("_m", F.count(p).over(base)).withColumn("_r", F.row_number().over(base.orderBy(*order)))
-    down = base.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.least(F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down), F.lit(1.0))).drop("_m", "_r")
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    ranked = running(counts, "_p", "_n", "_upto", keys)
+    m = counts.groupBy(*keys).agg(F.sum("_n").alias("_m"))
+    ranked = ranked.join(m, keys) if keys else ranked.join(F.broadcast(m))
+    adjusted = running(ranked.withColumn("_a", F.col("_p") * F.col("_m") / F.col("_upto")), "_p", "_a", "_q", keys, down=True, least=True)
+    adjusted = adjusted.select(*(F.col(k).alias(f"_by{i}") for i, k in enumerate(keys)), F.col("_p"), F.least("_q", F.lit(1.0)).alias(out))
+    same = df[p] == adjusted["_p"]
+    for i, k in enumerate(keys):
+        same &= df[k].eqNullSafe(adjusted[f"_by{i}"])
+    return df.join(adjusted, same, "left").drop("_p", *(f"_by{i}" for i in range(len(keys))))

@@ -98,7 +98,10 @@ def flagship_region(aln, seg, ann):
 @query("aln", "seg", sql=f"WITH sp AS (SELECT alignment_id, q_start, q_start + length AS q_end, s_start FROM seg) SELECT aln.alignment_id, target_id, round(z_score, 6) AS z_score, count(*) AS n_segments FROM aln JOIN sp USING (alignment_id) GROUP BY ALL")
 def silver_join(aln, seg):
     counts = seg.groupBy("alignment_id").agg(F.count("*").alias("n_segments"))
-    return aln.join(counts, "alignment_id").select("alignment_id", "target_id", r6("z_score"), "n_segments")
+    summary = aln.select("alignment_id", (F.col("target_id") + 1000).alias("protein_id"), "z_score")
+    mapping = aln.select((F.col("target_id") + 1000).alias("protein_id"), "target_id").distinct()
+    index = mapping.select("target_id", F.lit(QUERY_LENGTH).alias("target_length"))
+    return annotate.silver(summary, mapping, index).join(counts, "alignment_id").select("alignment_id", "target_id", r6("z_score"), "n_segments")
 
 
 @query("seg", sql="""WITH o AS (SELECT *, max(q_start + length) OVER (PARTITION BY alignment_id ORDER BY q_start, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM seg),
@@ -486,8 +489,8 @@ def enriched_ngrams(item):
 
 @query("hit", sql="WITH p AS (SELECT pfam, clan, least(1.0, exp(-avg(z_score) / 4)) AS p FROM hit GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY round(p, 9), pfam || clan) AS k, count(*) OVER () AS m FROM p) SELECT pfam, clan, round(least(1.0, min(round(p, 9) * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r")
 def bh_adjust(hit):
-    p = hit.groupBy("pfam", "clan").agg(F.round(F.least(F.lit(1.0), F.exp(-F.avg("z_score") / 4)), 9).alias("p")).withColumn("key", F.concat("pfam", "clan"))
-    return selection.benjamini_hochberg(p, "p", "q", tie="key").select("pfam", "clan", r6("q"))
+    p = hit.groupBy("pfam", "clan").agg(F.round(F.least(F.lit(1.0), F.exp(-F.avg("z_score") / 4)), 9).alias("p"))
+    return selection.benjamini_hochberg(p, "p", "q").select("pfam", "clan", r6("q"))
 
 
 @query("hit", sql="WITH r AS (SELECT pfam, query_coverage, (rank() OVER (ORDER BY query_coverage)) + (count(*) OVER (PARTITION BY query_coverage) - 1) / 2.0 AS k FROM hit), t AS (SELECT sum(c::DOUBLE * c * c - c) AS tie_term FROM (SELECT count(*) AS c FROM hit GROUP BY query_coverage)) SELECT pfam, count(*) AS n1, (SELECT count(*) FROM hit) - count(*) AS n2, round(sum(k)::DOUBLE - count(*) * (count(*) + 1) / 2.0, 3)::DOUBLE AS u, (SELECT tie_term FROM t) AS tie_term FROM r GROUP BY pfam")
@@ -497,9 +500,11 @@ def mwu_statistic(hit):
 
 @query("hit", sql="""WITH t AS (SELECT pfam, clan, count(*)::DOUBLE AS n FROM hit GROUP BY 1, 2), g AS (SELECT sum(n) AS m, sum(n * ln(n)) AS j FROM t), c AS (SELECT sum(n * ln(n)) AS c, sum(x) AS mx FROM (SELECT sum(n) AS n, max(n) AS x FROM t GROUP BY pfam)),
 f AS (SELECT sum(n * ln(n)) AS f FROM (SELECT sum(n) AS n FROM t GROUP BY clan)), h AS (SELECT mx / m AS purity, ln(m) - c / m AS hc, ln(m) - f / m AS hf, ln(m) - j / m AS hj FROM g, c, f)
-SELECT round(purity, 6) AS purity, round(greatest(hc + hf - hj, 0) / ((hc + hf) / 2), 6) AS nmi, round(greatest(hc + hf - hj, 0) / hf, 6) AS homogeneity, round(greatest(hc + hf - hj, 0) / hc, 6) AS completeness FROM h""")
+SELECT round(purity, 6) AS purity, round(greatest(hc + hf - hj, 0) / ((hc + hf) / 2), 6) AS nmi, round(greatest(hc + hf - hj, 0) / hf, 6) AS homogeneity, round(greatest(hc + hf - hj, 0) / hc, 6) AS completeness,
+  round(2 * greatest(hc + hf - hj, 0) / (hc + hf), 6) AS v_measure,
+  round((SELECT ((SELECT sum(n * (n - 1) / 2) FROM t) - x * y / z) / ((x + y) / 2 - x * y / z) FROM (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY pfam)) AS x, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY clan)) AS y, m * (m - 1) / 2 AS z FROM g)), 6) AS ari FROM h""")
 def purity_nmi(hit):
-    return cluster.agreement(hit, "pfam", "clan").select(r6("purity"), r6("nmi"), r6("homogeneity"), r6("completeness"))
+    return cluster.agreement(hit, "pfam", "clan").select(r6("purity"), r6("nmi"), r6("homogeneity"), r6("completeness"), r6("v_measure"), r6("ari"))
 
 
 @query("hit", sql=RANKS.format(label="clan") + " SELECT CASE WHEN k <= 3 THEN hit.clan ELSE 'Other' END AS clean, count(*) AS n FROM hit JOIN rk ON hit.clan = rk.clan GROUP BY 1")
@@ -624,7 +629,7 @@ def module_cohesion(vec):
 
     members = vec.select(F.col("label").alias("module"), F.col("vec_id").alias("target_id"))
     out = structal.cohesion(members, structal.structures(points(vec)), 200)
-    return out.select("module", r6("within"), r6("between"), r6("separation"))
+    return out.select("module", "n_within", "n_between", r6("within"), r6("between"), r6("separation"))
 
 
 @query("vec")

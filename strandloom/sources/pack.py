@@ -174,8 +174,9 @@ def save(path: str | Path, tables: dict[str, pd.DataFrame], arrays: dict[str, np
 
 
 def offsets(index: DataFrame, order: str) -> DataFrame:
-    """start_idx and end_idx of targets laid out in this order."""
-    from pyspark.sql import Window, functions as F
+    """start_idx and end_idx of targets laid out in the order of a distinct number."""
+    from pyspark.sql import functions as F
 
-    end = F.sum("length").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return index.withColumn("end_idx", end).withColumn("start_idx", F.col("end_idx") - F.col("length"))
+    from strandloom.functions.ordered import running
+
+    return running(index, order, "length", "end_idx").withColumn("start_idx", F.col("end_idx") - F.col("length"))
