@@ -567,7 +567,36 @@ def description_scores(item):
     return text_mining.description_scores(rows, "id", "w", scores, 1, 2).select("id", r6("score"))
 
 
-# No SQL form: tested against brute force.
+def _erfc(x: str, terms: int = 60) -> str:
+    """The complementary error function as an SQL series with positive terms only."""
+    series = "1"
+    for n in range(terms, 0, -1):
+        series = f"(1 + t * {2 / (2 * n + 1)!r}::DOUBLE * {series})"
+    return f"(SELECT CASE WHEN v > 4 THEN 0.0 WHEN v < -4 THEN 2.0 ELSE 1 - 2 / sqrt(pi()) * exp(-t) * v * {series} END FROM (SELECT v, v * v AS t FROM (SELECT {x} AS v)))"
+
+
+P_VALUE = f"CASE WHEN least(n1, n2) = 0 OR var <= 0 THEN 1.0 ELSE 0.5 * {_erfc('(u - n1 * n2 / 2.0 - 0.5) / sqrt(2 * var)')} END"
+VARIANCE = "n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))::DOUBLE)"
+ADJUSTED = "least(1.0, min(p * m / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM (SELECT *, count(*) OVER () AS m, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k FROM {rows})"
+
+GREEDY = CELLS + ", l0 AS (SELECT target_id, cell, ln(1 + c) AS w FROM dw JOIN (SELECT cell, count(*) AS c FROM dw GROUP BY 1 HAVING count(*) >= 2) USING (cell))" + "".join(
+    f", r{k} AS MATERIALIZED (SELECT target_id FROM l{k} GROUP BY 1 ORDER BY sum(w) DESC, target_id LIMIT 1), l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} WHERE cell NOT IN (SELECT cell FROM l{k} WHERE target_id = (SELECT target_id FROM r{k})))"
+    for k in range(3)
+)
+VOTED = TOPK + ", e AS MATERIALIZED (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(score) AS score FROM top GROUP BY 1, 2), ab AS (SELECT a, b, score FROM e UNION ALL SELECT b, a, score FROM e), m0 AS (SELECT DISTINCT a AS node, a AS module FROM ab)" + "".join(
+    f", m{k + 1} AS MATERIALIZED (SELECT a AS node, arg_max(module, (v, -module)) AS module FROM (SELECT ab.a, module, sum(score) AS v FROM ab JOIN m{k} ON node = ab.b GROUP BY 1, 2 UNION ALL SELECT node, module, 1e-12 FROM m{k}) GROUP BY 1)"
+    for k in range(3)
+)
+DESCRIBED = NGRAMS + """, mine AS (SELECT id, w FROM s WHERE module = 'Brand#2'), sp AS (SELECT id, len(w) AS size, n, i, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM mine, (SELECT unnest([1, 2]) AS n) WHERE len(w) >= n)),
+s0 AS (SELECT ngram, (1 + ln(count(*) FILTER (WHERE module = 'Brand#2'))) * (ln(((SELECT count(*) FROM s) + 1) / (count(*) + 1)::DOUBLE) + 1) AS score FROM g GROUP BY 1 HAVING count(*) FILTER (WHERE module = 'Brand#2') > 0)""" + "".join(
+    f""", d{k} AS MATERIALIZED (SELECT id FROM (SELECT id, size, place, max(score) AS b FROM (SELECT id, size, unnest(range(i, i + n)) AS place, score FROM sp JOIN s{k} USING (ngram)) GROUP BY 1, 2, 3){"".join(f" WHERE id <> (SELECT id FROM d{j})" if j == 0 else f" AND id <> (SELECT id FROM d{j})" for j in range(k))}
+  GROUP BY id, size HAVING sum(b) > 0 ORDER BY round(sum(b) / size, 12) DESC, id DESC LIMIT 1), s{k + 1} AS MATERIALIZED (SELECT ngram, CASE WHEN ngram IN (SELECT ngram FROM sp WHERE id = (SELECT id FROM d{k})) THEN 0.0 ELSE score END AS score FROM s{k})"""
+    for k in range(3)
+)
+
+
+# What has no SQL here is tested against brute force.
+
 
 
 @query("vec")
@@ -605,18 +634,26 @@ def communities(vec):
     return cluster.communities(fingerprint.symmetrised(top_neighbours(vec)))
 
 
-@query("hit")
+@query("hit", sql=f"""WITH r AS (SELECT pfam, z_score, (rank() OVER (ORDER BY z_score)) + (count(*) OVER (PARTITION BY z_score) - 1) / 2.0 AS k FROM hit), ties AS (SELECT sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT count(*) AS c FROM hit GROUP BY z_score)),
+g AS (SELECT pfam, count(*) AS n1, (SELECT count(*) FROM hit) - count(*) AS n2, sum(k)::DOUBLE - count(*) * (count(*) + 1) / 2.0 AS u, median(z_score) AS median FROM r GROUP BY pfam HAVING count(*) >= 5), v AS (SELECT *, {VARIANCE} AS var FROM g, ties),
+t AS (SELECT *, {P_VALUE} AS p FROM v) SELECT pfam, n1, n2, round(p, 6) AS p_value, round(q, 6) AS q_value, round(median, 6) AS median, q < 0.05 AS significant FROM (SELECT *, {ADJUSTED.format(rows='t')})""")
 def group_test(hit):
     return statistics.group_test(hit, "pfam", "z_score").select("pfam", "n1", "n2", r6("p_value"), r6("q_value"), r6("median"), "significant")
 
 
-@query("vec")
+@query("vec", sql=f"""WITH {PILE}, g AS (SELECT pos, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label <> 1) AS n2, count(*) FILTER (WHERE label = 1 AND c <> '.') AS k1, count(*) FILTER (WHERE label <> 1 AND c <> '.') AS k2 FROM c GROUP BY pos),
+f AS (SELECT *, k1 * (n2 - k2) + 0.5 * (k1 * k2 + (n1 - k1) * (n2 - k2)) AS u, (k1 + k2)::DOUBLE AS a, (n1 + n2 - k1 - k2)::DOUBLE AS b, a * a * a - a + b * b * b - b AS ties FROM g), v AS (SELECT *, {VARIANCE} AS var FROM f),
+t AS (SELECT *, {P_VALUE} AS p FROM v) SELECT CAST(pos AS INT) AS pos, round(k1 / n1, 6) AS in_group, round(k2 / nullif(n2, 0), 6) AS rest, round(p, 6) AS p_value, round(q, 6) AS q_value FROM (SELECT *, {ADJUSTED.format(rows='t')})""")
 def column_significance(vec):
     t = statistics.column_tests(pileup.columns(piles(vec), "pile", "label"), "label", 1)
     return t.select("pos", r6("in_group"), r6("rest"), r6("p_value"), r6("q_value"))
 
 
-@query("vec")
+@query("vec", sql=f"""WITH {PILE}, sz AS (SELECT vec_id, count(*) FILTER (WHERE c NOT IN ('-', '.')) AS n FROM c GROUP BY 1), o AS MATERIALIZED (SELECT vec_id, n, row_number() OVER (ORDER BY n DESC, vec_id) AS k FROM sz),
+f AS MATERIALIZED (SELECT y.k, list(x.k) AS before FROM (SELECT a.vec_id AS x, b.vec_id AS y, count(*) AS same FROM c a JOIN c b ON a.pos = b.pos AND a.c = b.c AND a.vec_id <> b.vec_id WHERE a.c NOT IN ('-', '.') GROUP BY 1, 2) p JOIN o x ON x.vec_id = p.x JOIN o y ON y.vec_id = p.y
+  WHERE x.k < y.k AND same >= 0.3 * least(x.n, y.n) GROUP BY 1)
+SELECT vec_id FROM o WHERE k IN (SELECT unnest(kept) FROM (WITH RECURSIVE w(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT o.k, CASE WHEN f.before IS NOT NULL AND list_has_any(f.before, w.kept) THEN w.kept ELSE list_append(w.kept, o.k) END FROM w JOIN o ON o.k = w.k + 1 LEFT JOIN f ON f.k = o.k) SELECT kept FROM w ORDER BY k DESC LIMIT 1))""")
 def nonredundant(vec):
     from strandloom.operators.sequential import nonredundant as select
 
@@ -639,18 +676,20 @@ def domain_partition(vec):
     return domains.partitioned(structal.structures(points(vec)))
 
 
-@query("vec")
+@query("vec", sql=f"WITH {VOTED} SELECT node, module FROM m3")
 def label_propagation(vec):
     return cluster.propagated(fingerprint.symmetrised(top_neighbours(vec)), 3)
 
 
-@query("vec")
+@query("vec", sql=f"WITH {GREEDY} SELECT * FROM (SELECT CAST(0 AS INT) AS round, target_id FROM r0 UNION ALL SELECT 1, target_id FROM r1 UNION ALL SELECT 2, target_id FROM r2)")
 def greedy_coverage(vec):
     chosen = fingerprint.representatives(fingerprint.voxels(points(vec), CELL), 3)
     return vec.sparkSession.createDataFrame([(i, c) for i, c in enumerate(chosen)], "round int, target_id long")
 
 
-@query("vec")
+@query("vec", sql=f"""WITH {PILE}, d AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, sum((a.c <> b.c)::INT) AS d FROM c a JOIN c b ON a.pos = b.pos GROUP BY 1, 2)
+SELECT cur AS vec_id, CAST(p AS INT) AS position FROM (WITH RECURSIVE w(p, cur, seen) AS (SELECT 0, min(vec_id), [min(vec_id)] FROM vec WHERE v IS NOT NULL UNION ALL
+  SELECT any_value(w.p) + 1, arg_min(d.b, (d.d, d.b)), list_append(any_value(w.seen), arg_min(d.b, (d.d, d.b))) FROM w JOIN d ON d.a = w.cur WHERE NOT list_contains(w.seen, d.b) GROUP BY w.cur) SELECT p, cur FROM w)""")
 def seriation(vec):
     from strandloom.operators.sequential import seriated
 
@@ -664,7 +703,7 @@ def structal_coverage(vec):
     return structal.coverage(structal.alignments(neighbour_pairs(vec), structal.structures(points(vec))))
 
 
-@query("item")
+@query("item", sql=f"WITH {DESCRIBED} SELECT CAST(0 AS INT) AS round, id FROM d0 UNION ALL SELECT 1, id FROM d1 UNION ALL SELECT 2, id FROM d2")
 def representative_descriptions(item):
     rows = item.select("id", "module", F.split("text", " ").alias("w"))
     scores = text_mining.tf_idf(rows, "id", "w", F.col("module") == "Brand#2", 1, 2)
@@ -678,3 +717,6 @@ def distribution_test(hit):
 
     ranked = selection.first_appearance_rank(hit, "pfam", "z_score", "rid", "pfam_rank")
     return reports.distribution_test(ranked, {"pfam": "pfam_rank"}, ["z_score", "query_coverage"], k=3)
+
+
+from . import further  # noqa: E402, F401  registers more queries
