@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import urllib.request
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Three-letter residue names.
@@ -33,6 +35,12 @@ def lines_of(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(text.splitlines())), "line long, value string").select("line", "value")
 
 
+def remote(spark: SparkSession, url: str, timeout: float = 60) -> DataFrame:
+    """The lines of one structure file behind an address."""
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        return lines_of(spark, answer.read().decode("utf-8", "replace"))
+
+
 def alpha_carbons(atom_rows: DataFrame, chain: str | None = None) -> DataFrame:
     """(i, chain, resnum, aa, x, y, z): one alpha carbon a residue in file order, blank or A conformer."""
     letter = F.coalesce(*(F.when(F.col("resname") == k, v) for k, v in LETTERS.items()), F.lit("X"))
