@@ -10,7 +10,10 @@ at the room of the cheapest open sequence; padding is below one sequence per win
 
 Sequence ids hold the task's partition in the upper bits, so they are unique without a shuffle,
 and a lost task repeats the same ids.
-Defined cases: null or empty text is the closing id alone; repeated rows are packed each.
+Defined cases: null or empty text is the closing id alone; repeated rows are packed each; a very long
+text fills whole sequences first, its rest is packed like a short one; pieces of equal length go by
+doc_id and place, rows without one first, sequences of equal cost by their number; columns other than
+doc_id and text are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

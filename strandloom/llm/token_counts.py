@@ -9,7 +9,8 @@ Two neighbouring chunks are spliced at a byte position inside their overlap that
 Where an overlap holds no such place it is doubled and the chunk encoded again, in the last
 resort up to the end of the document.
 
-Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows are counted each.
+Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; columns
+other than doc_id and text are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def count_long(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
 
 
 def count(model, safe: bool, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    long = [i for i, t in enumerate(texts) if safe and len(t) > chunk]
+    # a text of fewer characters than a quarter of the bytes needs no look at its bytes
+    long = [i for i, t in enumerate(texts) if safe and 4 * len(t) > chunk and len(t.encode()) > chunk]
     out = [0] * len(texts)
     short = sorted(set(range(len(texts))) - set(long))
     for i, ids in zip(short, model.encode([texts[i] for i in short], num_threads=1) if short else ()):

@@ -138,6 +138,27 @@ def test_targets_that_cannot_hold_are_told(spark):
         assert source_mixing.weighted(frame, targets=off).count() == 2
 
 
+def test_long_texts_cross_every_slice(spark, small, monkeypatch):
+    from strandloom.llm import simhash_dedup
+
+    rnd = random.Random(12)
+    text = " ".join(rnd.choice(["alpha", "beta", "gamma", "the", "of"]) + str(rnd.randint(0, 99)) for _ in range(60_000))
+    whole = simhash_dedup.fingerprint(text.encode())
+    monkeypatch.setattr(simhash_dedup, "SLICE", 1000)
+    assert simhash_dedup.fingerprint(text.encode()) == whole
+    frame = spark.createDataFrame([(1, text, "en", 7), (1, text, None, 8), (2, None, "en", 9)], "doc_id long, text string, lang string, length long")
+    pieces = [p for p in packing.packed(frame).collect() if p.doc_id == 1]
+    total = pieces[0].doc_tokens
+    assert sum(p.length for p in pieces) == 2 * total and total > 30 * packing.LENGTH
+    counts = token_counts.token_counts(frame).collect()
+    model, _ = token_counts.load(token_counts.public_tokenizers.path(token_counts.MODEL))
+    assert sorted(r.n_tokens for r in counts) == [0] + [len(model.encode(text))] * 2
+    got = {(r.doc_id, r.lang_pred) for r in language_id.predicted(frame.selectExpr("doc_id + 1 as doc_id", "text", "lang", "length")).collect()}
+    assert got == {(2, "en"), (3, "und")} or got == {(2, "und"), (3, "und")}
+    scores = [r.score for r in lm_score.scored(frame).collect() if r.doc_id == 1]
+    assert len(scores) == 2 and scores[0] == pytest.approx(scores[1]) and scores[0] > -len(text)
+
+
 def test_packing_round_trip(small, nothing):
     rows, frame = small
     pieces = packing.packed(frame, pool_tokens=20_000).collect()
