@@ -18,18 +18,18 @@ import regex
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 VOCABULARY = "word_bpe_49k.json"
-MEMO = 800_000
+MEMO = 1_200_000
 #: Fixed value: the vocabulary's own split pattern.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*")
 
 
 def _plain_words() -> re.Pattern:
-    """The split pattern for lower-cased plain texts, its letters and numbers spelled out: twice as fast."""
+    """The split pattern for lower-cased plain texts, its letters and numbers spelled out and, as no other part begins with one, letters first: much faster."""
     seen = sorted({d for c in map(chr, range(0x2028)) if PLAIN.fullmatch(c) for d in c.lower()})
     letters = re.escape("".join(c for c in seen if regex.fullmatch(r"\p{L}", c)))
     numbers = re.escape("".join(c for c in seen if regex.fullmatch(r"\p{N}", c)))
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+    return re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^\s{letters}{numbers}]+")
 
 
 PLAIN_WORDS = _plain_words()
@@ -53,34 +53,29 @@ class WordIds:
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             raise ValueError("a word has no single end in this vocabulary")
-        raw, a = ids.tobytes(), 0
-        for word, b in zip(words, (stops * 4).tolist()):
-            self.memo[word] = raw[a:b]
-            a = b
+        raw, ends = ids.tobytes(), (stops * 4).tolist()
+        self.memo.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        hard, late = [], []
-        known = self.memo.__getitem__
+        hard, plain, seen = [], [], set()
         for i, text in enumerate(texts):
-            if not PLAIN.fullmatch(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
+            if PLAIN.fullmatch(text) and "<|" not in text and unicodedata.is_normalized("NFC", text):
+                words = PLAIN_WORDS.findall(text.lower())
+                seen.update(words)
+                plain.append((i, words))
+            else:
                 hard.append(i)
-                continue
-            words = PLAIN_WORDS.findall(text.lower())
-            try:
-                out[i] = b"".join(map(known, words))
-            except KeyError:
-                late.append((i, words))
-        if late:
-            # the new words of all these texts at once
-            all_words = dict.fromkeys(w for _, words in late for w in words)
-            new = [w for w in all_words if w not in self.memo]
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list(all_words)
+        # the new words of all these texts at once
+        new = list(seen.difference(self.memo))
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = list(seen)
+        if new:
             self.learn(new)
-            for i, words in late:
-                out[i] = b"".join(map(known, words))
+        known = self.memo.__getitem__
+        for i, words in plain:
+            out[i] = b"".join(map(known, words))
         if hard:
             for i, e in zip(hard, self.whole.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)):
                 out[i] = np.array(e.ids, np.uint32).tobytes()
