@@ -1,4 +1,14 @@
-"""From raw documents to packed sequences: the stages of one corpus run, in order."""
+"""From raw documents to packed sequences: the stages of one corpus run, in order.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; what it decides takes
+effect on the documents it returns, with all their columns but for the last, which returns pieces.
+
+Defined cases: null, empty and blank texts fail the quality rules and go; of repeated rows and exact or near
+copies the one with the smallest doc_id stays, rows without doc_id stay or go together; a document whose
+whole text is cut out stays with an empty text until mixing, where a cell without tokens is not drawn; null
+lang or source is a category of its own; extra columns are carried to the fourth stage; an empty table
+gives an empty table of pieces.
+"""
 
 from __future__ import annotations
 
