@@ -636,9 +636,9 @@ def communities(vec):
 
 @query("hit", sql=f"""WITH r AS (SELECT pfam, z_score, (rank() OVER (ORDER BY z_score)) + (count(*) OVER (PARTITION BY z_score) - 1) / 2.0 AS k FROM hit), ties AS (SELECT sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT count(*) AS c FROM hit GROUP BY z_score)),
 g AS (SELECT pfam, count(*) AS n1, (SELECT count(*) FROM hit) - count(*) AS n2, sum(k)::DOUBLE - count(*) * (count(*) + 1) / 2.0 AS u, median(z_score) AS median FROM r GROUP BY pfam HAVING count(*) >= 5), v AS (SELECT *, {VARIANCE} AS var FROM g, ties),
-t AS (SELECT *, {P_VALUE} AS p FROM v) SELECT pfam, n1, n2, round(p, 6) AS p_value, round(q, 6) AS q_value, round(median, 6) AS median, q < 0.05 AS significant FROM (SELECT *, {ADJUSTED.format(rows='t')})""")
+t AS (SELECT *, {P_VALUE} AS p FROM v) SELECT pfam, n1, n2, round(p, 6) AS p_value, round(q, 6) AS q_value, round(median, 8) AS median, q < 0.05 AS significant FROM (SELECT *, {ADJUSTED.format(rows='t')})""")
 def group_test(hit):
-    return statistics.group_test(hit, "pfam", "z_score").select("pfam", "n1", "n2", r6("p_value"), r6("q_value"), r6("median"), "significant")
+    return statistics.group_test(hit, "pfam", "z_score").select("pfam", "n1", "n2", r6("p_value"), r6("q_value"), F.round("median", 8).alias("median"), "significant")
 
 
 @query("vec", sql=f"""WITH {PILE}, g AS (SELECT pos, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label <> 1) AS n2, count(*) FILTER (WHERE label = 1 AND c <> '.') AS k1, count(*) FILTER (WHERE label <> 1 AND c <> '.') AS k2 FROM c GROUP BY pos),
