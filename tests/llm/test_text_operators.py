@@ -153,8 +153,8 @@ def test_long_texts_cross_every_slice(spark, small, monkeypatch):
     counts = token_counts.token_counts(frame).collect()
     model, _ = token_counts.load(token_counts.public_tokenizers.path(token_counts.MODEL))
     assert sorted(r.n_tokens for r in counts) == [0] + [len(model.encode(text))] * 2
-    got = {(r.doc_id, r.lang_pred) for r in language_id.predicted(frame.selectExpr("doc_id + 1 as doc_id", "text", "lang", "length")).collect()}
-    assert got == {(2, "en"), (3, "und")} or got == {(2, "und"), (3, "und")}
+    # document 1 is learned from, so its language is the only one known
+    assert {(r.doc_id, r.lang_pred) for r in language_id.predicted(frame).collect()} == {(1, "en"), (2, "und")}
     scores = [r.score for r in lm_score.scored(frame).collect() if r.doc_id == 1]
     assert len(scores) == 2 and scores[0] == pytest.approx(scores[1]) and scores[0] > -len(text)
 
