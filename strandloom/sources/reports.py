@@ -49,17 +49,42 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _place) of a text file, or of the parts of a folder by name: _place grows with the order of lines."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), "_metadata.file_path", "_metadata.file_block_start")
+    return rows.select("value", F.struct(F.col("file_path").alias("f"), F.col("file_block_start").alias("s"), F.monotonically_increasing_id().alias("i")).alias("_place"))
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with their number from one by `_place` in column `name`, without `_place`; no row is moved.
+
+    A split is read in order by one task, so places there are consecutive when taken after all filters; only counts
+    of splits are added up. A second read that deals splits otherwise is an error, not a wrong number.
+    """
+    again = F.monotonically_increasing_id()
+    rows = rows.select(*(c for c in rows.columns if c != "_place"), F.col("_place.f").alias("_f"), F.col("_place.s").alias("_s"), again.alias("_i"))
+    splits = rows.groupBy("_f", "_s").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("_before", F.coalesce(before, F.lit(0))).select(F.col("_f").alias("_g"), F.col("_s").alias("_t"), "_first", "_n", "_before")
+    out = rows.join(F.broadcast(splits), (F.col("_f") == F.col("_g")) & (F.col("_s") == F.col("_t")), "left")
+    at = F.col("_i") - F.col("_first")
+    number = F.when(at.between(0, F.col("_n") - 1), F.col("_before") + at + 1).otherwise(F.raise_error(F.lit("the report's splits changed between two reads")).cast("long"))
+    return out.withColumn(name, number.cast("int")).drop("_f", "_s", "_i", "_g", "_t", "_first", "_n", "_before")
+
+
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(summary, segments) of a tab-separated report; alignments are numbered in file order, starts stay one-based."""
-    rows = lines(spark, path).where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
-    head = rows.orderBy("line").first()
+    """(summary, segments) of a tab-separated report; alignments are numbered in file order, starts stay one-based.
+
+    The report may be a folder of parts in the order of their names, each with the same head.
+    """
+    rows = ordered_lines(spark, path).where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
+    head = rows.orderBy("_place").first()
     names = head["value"].split("\t")
     cells = F.split("value", "\t")
     at = {k: names.index(c) if (c := column(names, k)) else None for k in COLUMNS}
     pick = lambda k: F.lit(None).cast("string") if at[k] is None else F.get(cells, at[k])
-    body = rows.where(F.col("line") > head["line"]).select("line", *(F.trim(pick(k)).alias(k) for k in COLUMNS))
-    body = body.where(~F.lower("target_id").isin(".", "", "query"))
-    body = body.withColumn("alignment_id", F.row_number().over(Window.orderBy("line")))
+    body = rows.where(F.col("value") != head["value"]).select("_place", *(F.trim(pick(k)).alias(k) for k in COLUMNS))
+    body = numbered(body.where(~F.lower("target_id").isin(".", "", "query")), "alignment_id")
     summary = body.select("alignment_id", "target_id", F.col("z_score").try_cast("double").alias("z_score"), F.col("namespace").alias("namespace_raw"))
     three = F.explode(F.arrays_zip(*(whole_numbers(F.col(c)).alias(n) for c, n in (("qstarts", "q_start"), ("sstarts", "s_start"), ("lengths", "length"))))).alias("b")
     segments = body.select("alignment_id", three).select("alignment_id", "b.q_start", "b.s_start", F.coalesce("b.length", F.lit(0)).alias("length"))
